@@ -13,14 +13,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: N-grams of 1 to 3 letters are hashed into so many features.
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
-#: The classifier is fitted on at most so many documents in all, dealt evenly to the languages, of which the most frequent count.
+#: The classifier is fitted on about so many documents in all, dealt evenly to the languages, of which the most frequent count.
 SAMPLE, MAX_LANGS = 3_000, 64
 #: Of the sample, one document in so many goes to calibration instead.
 CALIBRATE = 5
@@ -145,30 +145,29 @@ def _sample_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         rows = [(lang.as_py(), key.as_py(), counts) for text, lang, key in zip(*batch.columns) if (counts := ngram_counts(text.as_py())) is not None]
         index = [np.flatnonzero(c).astype(np.int32) for _, _, c in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array(index, pa.list_(pa.int32())), pa.array([r[2][i].astype(np.int32) for r, i in zip(rows, index)], pa.list_(pa.int32()))], names=["lang", "key", "index", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([i.tobytes() for i in index], pa.binary()), pa.array([r[2][i].astype(np.int32).tobytes() for r, i in zip(rows, index)], pa.binary())], names=["lang", "key", "index", "counts"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) -> LanguageModel:
     """Learns from text and lang of the rows of ``docs`` (doc_id, text, lang) that aren't held out.
 
-    The driver gets at most ``sample`` rows of features and one row per feature.
+    The driver gets about ``sample`` rows of features, never over twice as many, and one row per feature.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    languages = [r[0] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
+    counted = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     idf = np.ones(FEATURES)
-    if not languages:
+    if not counted:
         return LanguageModel([], idf, np.zeros((FEATURES, 0), np.float32), np.zeros(0))
     frequencies = labelled.select("text").mapInArrow(_document_frequencies, "feature int, documents long").groupBy("feature").agg(F.sum("documents").alias("documents")).collect()
     df = np.zeros(FEATURES + 1)
     for feature, n in frequencies:
         df[feature] = n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    # First the keys, of which the rank of a hash within the language takes few; only their rows' texts are read again.
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    key = F.xxhash64("doc_id")
-    keys = labelled.where(F.col("lang").isin(languages)).select("doc_id", "lang", key.alias("key")).withColumn("rank", rank).where(F.col("rank") <= max(1, sample // len(languages))).select("key").distinct()
-    chosen = labelled.where(F.col("lang").isin(languages)).withColumn("key", key).join(F.broadcast(keys), "key", "left_semi")
-    rows = chosen.select("text", "lang", "key").mapInArrow(_sample_features, "lang string, key long, index array<int>, counts array<int>").limit(sample).collect()
+    # A hash of doc_id below a bound that each language's count gives: about as many rows of each, without a shuffle.
+    share = lambda n: int(min(1.0, sample / len(counted) / n) * (1 << 32))
+    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(share(n))) for lang, n in counted.items()])
+    chosen = labelled.withColumn("key", F.xxhash64("doc_id")).where(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) < bound)
+    rows = chosen.select("text", "lang", "key").mapInArrow(_sample_features, "lang string, key long, index binary, counts binary").limit(2 * sample).collect()
     languages = sorted({r["lang"] for r in rows})
     model = LanguageModel(languages, idf, np.zeros((FEATURES, len(languages)), np.float32), np.zeros(len(languages)))
     if not languages:
@@ -176,7 +175,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) ->
     coded = []
     for r in sorted(rows, key=lambda r: (r["key"], r["lang"], len(r["index"]))):
         counts = np.zeros(FEATURES, np.int64)
-        counts[r["index"]] = r["counts"]
+        counts[np.frombuffer(r["index"], np.int32)] = np.frombuffer(r["counts"], np.int32)
         coded.append((*model.features(counts), languages.index(r["lang"])))
     fitted, kept = [c for k, c in enumerate(coded) if k % CALIBRATE or len(coded) < 50], [c for k, c in enumerate(coded) if not k % CALIBRATE and len(coded) >= 50]
     model.weights, model.bias = fit_ftrl(fitted, len(languages))

@@ -182,7 +182,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
     return tags
 
 
-def fit(labelled: DataFrame, steps: int = 150, rate: float = 0.1, penalty: float = 1e-3, max_rows: int = MAX_LABELLED) -> Field:
+def fit(labelled: DataFrame, steps: int = 150, rate: float = 0.4, penalty: float = 1e-4, max_rows: int = MAX_LABELLED) -> Field:
     """Maximises the conditional likelihood of a small labelled table (sentence, position, token, tag), less an L2 penalty."""
     rows = labelled.orderBy("sentence", "position").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
