@@ -15,7 +15,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undecided or scored below a half."""
+    """Drops documents whose language is undecided or scored too low."""
     model = langid.train(docs)
     return langid.accepted(langid.identify(_packed(docs), model)).select("_row.*")
 
