@@ -19,7 +19,7 @@ BATCHES = 4
 #: Digests of a batch that one filter holds.
 FILTER_KEYS = 1 << 18
 #: So many candidate digests of 8 bytes are broadcast at most; more are joined by a shuffle.
-BROADCAST_DIGESTS = 1 << 20
+BROADCAST_DIGESTS = 1 << 17
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
