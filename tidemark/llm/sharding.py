@@ -53,8 +53,11 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, weights: Sequence[f
 
     Rows that repeat a doc_id share its shard; null doc_ids share one. Columns named shard or slot are replaced.
     """
-    sharded = assign_shards(docs, ["doc_id"], weights or [1.0] * n_shards)
-    return add_slots(sharded, ["doc_id"], docs.count())
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    # The row is packed, so that no column of it clashes with those made on the way.
+    packed = docs.select("doc_id", F.struct(*[docs[c] for c in kept]).alias("_row"))
+    sharded = assign_shards(packed, ["doc_id"], weights or [1.0] * n_shards)
+    return add_slots(sharded, ["doc_id"], docs.count()).select("_row.*", "shard", "slot")
 
 
 def op2_sharding(spark, sf_dir: str) -> DataFrame:
