@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
 #: The classifier is fitted on about so many documents in all, dealt evenly to the languages, of which the most frequent count.
-SAMPLE, MAX_LANGS = 3_000, 64
+SAMPLE, MAX_LANGS = 2_000, 64
 #: Of the sample, one document in so many goes to calibration instead.
 CALIBRATE = 5
 UNDECIDED = "und"
@@ -92,7 +92,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias from rows of feature numbers, values and class, by FTRL-proximal; the penalties spare the bias."""
     z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
     random = np.random.default_rng(0)

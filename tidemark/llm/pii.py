@@ -100,7 +100,7 @@ def _distractor(draw: random.Random) -> str:
     return draw.choice([n(draw.randint(1, 20)), f"{n(1)}.{n(1)}.", f"({n(2)})", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}", f"{n(1)},{n(3)}", f"{n(2)}/{n(2)}/{n(4)}", f"password={h(18)}", f'"{h(40)}"', f"AKIA{h(16).upper()}", f"[{n(1)}]", "(see", "note)", f"{n(4)}-{n(4)}", f"v{n(1)}.{n(2)}.{n(1)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}.{n(3)}", f"a_{h(4)}", f"https://{h(5)}.example.org/{n(3)}", f"{n(16)}", f"{n(4)} {n(4)}", "a/b", f"{h(4)}:{h(4)}", f"+{n(2)}"])
 
 
-def labelled_table(spark: SparkSession, sentences: int = 900, seed: int = 7) -> DataFrame:
+def labelled_table(spark: SparkSession, sentences: int = 600, seed: int = 7) -> DataFrame:
     """The default training table: sentence, position, token, tag."""
     draw, rows = random.Random(seed), []
     plain = lambda: "".join(draw.choice("abcdeghilmnoprstuy") for _ in range(draw.randint(1, 9))) + draw.choice(["", "", "", "", ",", "."])
@@ -182,7 +182,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
     return tags
 
 
-def fit(labelled: DataFrame, steps: int = 150, rate: float = 0.4, penalty: float = 1e-4, max_rows: int = MAX_LABELLED) -> Field:
+def fit(labelled: DataFrame, steps: int = 150, rate: float = 0.6, penalty: float = 1e-4, max_rows: int = MAX_LABELLED) -> Field:
     """Maximises the conditional likelihood of a small labelled table (sentence, position, token, tag), less an L2 penalty."""
     rows = labelled.orderBy("sentence", "position").limit(max_rows + 1).collect()
     if len(rows) > max_rows:
@@ -204,26 +204,28 @@ def fit(labelled: DataFrame, steps: int = 150, rate: float = 0.4, penalty: float
     pairs = np.einsum("ska,skb->ab", onehot[:, :-1], onehot[:, 1:]) + np.outer(np.eye(tags)[0], onehot[:, 0].sum(0))
     last = onehot[np.arange(len(groups)), lengths - 1]
     pairs += np.outer(last.sum(0), np.eye(tags)[0])
-    log_sum = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
-    squares = [np.zeros_like(emissions), np.zeros_like(transitions)]
+    squares, flat = [np.zeros_like(emissions), np.zeros_like(transitions)], ids.ravel()
     for _ in range(steps):
         e = emissions[ids].sum(axis=2)
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0] + transitions[0]
+        # Forward and backward weights; each place is scaled to a sum of 1, which its probabilities don't depend on.
+        e, t = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(transitions)
+        forward, backward = np.empty_like(e), np.empty_like(e)
+        scaled = lambda x: x / x.sum(axis=1, keepdims=True)
+        forward[:, 0] = scaled(e[:, 0] * t[0])
         for k in range(1, most):
-            forward[:, k] = np.where(mask[:, k, None], e[:, k] + log_sum(forward[:, k - 1, :, None] + transitions[None], 1), forward[:, k - 1])
-        z = log_sum(forward[:, -1] + transitions[:, 0], 1)
-        backward[:, -1] = transitions[:, 0]
+            forward[:, k] = scaled((forward[:, k - 1] @ t) * e[:, k])
+        backward[:, -1] = t[:, 0]
         for k in reversed(range(most - 1)):
-            step = log_sum(transitions[None] + (e[:, k + 1] + backward[:, k + 1])[:, None, :], 2)
-            backward[:, k] = np.where(mask[:, k + 1, None], step, transitions[:, 0])
-        p = np.exp(forward + backward - z[:, None, None]) * mask[..., None]
+            backward[:, k] = np.where(mask[:, k + 1, None], scaled((e[:, k + 1] * backward[:, k + 1]) @ t.T), t[:, 0])
+        p = forward * backward
+        p = p / p.sum(axis=2, keepdims=True) * mask[..., None]
         expected = np.outer(np.eye(tags)[0], p[:, 0].sum(0)) + np.outer(p[np.arange(len(groups)), lengths - 1].sum(0), np.eye(tags)[0])
         for k in range(1, most):
-            joint = np.exp(forward[:, k - 1, :, None] + transitions[None] + (e[:, k] + backward[:, k])[:, None, :] - z[:, None, None])
-            expected += (joint * mask[:, k, None, None]).sum(axis=0)
-        gradient = np.zeros_like(emissions)
-        np.add.at(gradient, ids.reshape(-1, width), np.repeat((onehot - p).reshape(-1, 1, tags), width, axis=1))
+            here = np.flatnonzero(mask[:, k])
+            left, right = forward[here, k - 1], e[here, k] * backward[here, k]
+            expected += t * (left.T @ (right / ((left @ t) * right).sum(axis=1, keepdims=True)))
+        miss = (onehot - p).reshape(-1, tags)
+        gradient = np.stack([np.bincount(flat, np.repeat(miss[:, t], width), len(index)) for t in range(tags)], axis=1)
         for w, g, q in ((emissions, gradient - penalty * len(groups) * emissions, squares[0]), (transitions, pairs - expected - penalty * len(groups) * transitions, squares[1])):
             q += g * g
             w += rate * g / np.sqrt(q + 1e-8)
