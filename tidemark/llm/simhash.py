@@ -29,9 +29,11 @@ SEED = 42
 #: Rows of a shard that one task compares at a time; more are tiled.
 STORED_ROWS, QUERY_ROWS = 8_192, 32_768
 LEAF_ROWS = 4_096
-#: Fingerprints that the trees are built from: at most so many, 8 bytes each.
-SAMPLE = 65_536
+#: Fingerprints that the trees are built from: about so many at most, 8 bytes each.
+SAMPLE = 1 << 20
 SAMPLES_PER_LEAF = 16
+#: Fingerprints that go through a tree at a time, since each of its nodes costs a few array operations.
+ROUTED = 1 << 19
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -80,26 +82,23 @@ class Tree:
         self.leaves += 1
         return self.leaves - 1
 
-    def route(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the value, leaf, and if the leaf holds it: for each leaf that may hold a value within the radius."""
-        out = []
-
-        def walk(node, index: np.ndarray, home: np.ndarray) -> None:
+    def route(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """For each leaf: index of the values that it may hold neighbours of, the leaf, and which of them it holds itself."""
+        waiting = [(self.root, np.arange(len(values)), np.ones(len(values), bool))]
+        while waiting:
+            node, index, home = waiting.pop()
             if not len(index):
-                return
+                continue
             if isinstance(node, int):
-                out.append((index, np.full(len(index), node, np.int32), home))
-                return
+                yield index, node, home
+                continue
             point, mu, left, right = node
             distance = np.bitwise_count(values[index] ^ point).astype(np.int16)
             near = distance <= mu
             # Whatever is within the radius of a value is no nearer to the point than distance - radius, no farther than distance + radius.
             to_left, to_right = distance - self.radius <= mu, distance + self.radius > mu
-            walk(left, index[to_left], (home & near)[to_left])
-            walk(right, index[to_right], (home & ~near)[to_right])
-
-        walk(self.root, np.arange(len(values)), np.ones(len(values), bool))
-        return tuple(map(np.concatenate, zip(*out))) if out else (np.zeros(0, int), np.zeros(0, np.int32), np.zeros(0, bool))
+            waiting.append((right, index[to_right], (home & ~near)[to_right]))
+            waiting.append((left, index[to_left], (home & near)[to_left]))
 
 
 def _half(values: np.ndarray, half: int) -> np.ndarray:
@@ -149,20 +148,33 @@ def near_edges(fps: DataFrame, leaf_rows: int = LEAF_ROWS, stored_rows: int = ST
     """Edges a, b between distinct fingerprints (column fp) that connect just what the pairs within 3 bits connect."""
     n = fps.count()
     leaves = max(1, min(SAMPLE // SAMPLES_PER_LEAF, n // leaf_rows))
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(leaves * SAMPLES_PER_LEAF).collect()], np.int64).view(np.uint64)
+    share = min(1.0, leaves * SAMPLES_PER_LEAF / max(n, 1))
+    drawn = fps.where(F.shiftrightunsigned(F.xxhash64("fp"), 11) < F.lit(int(share * (1 << 53)))).select("fp").limit(2 * SAMPLE)
+    sample = np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64)
     trees = [Tree(_half(sample, half), leaves, MAX_BITS // 2) for half in (0, 1)]
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        waiting: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            values = np.concatenate(waiting).view(np.uint64)
+            waiting.clear()
             for half, tree in enumerate(trees):
-                index, leaf, home = tree.route(_half(values, half))
-                for k in range(0, len(index), 1 << 17):
-                    part = slice(k, k + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf[part] * 2 + half, pa.int32()), pa.array(values[index[part]].view(np.int64)), pa.array(home[part])], names=["shard", "fp", "home"])
+                for index, leaf, home in tree.route(_half(values, half)):
+                    for k in range(0, len(index), 1 << 17):
+                        part = slice(k, k + (1 << 17))
+                        size = len(index[part])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, leaf * 2 + half, np.int32)), pa.array(values[index[part]].view(np.int64)), pa.array(home[part])], names=["shard", "fp", "home"])
+
+        for batch in batches:
+            waiting.append(batch.column(0).to_numpy(zero_copy_only=False))
+            if sum(map(len, waiting)) >= ROUTED:
+                yield from flush()
+        if waiting:
+            yield from flush()
 
     routed = fps.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
-    # At most 2 x SAMPLE / SAMPLES_PER_LEAF rows, whatever the input.
+    # As many rows as the trees have leaves: some 2 x SAMPLE / SAMPLES_PER_LEAF at most, whatever the input.
     counts = routed.groupBy("shard").agg(F.ceil(F.count_if("home") / stored_rows).cast("int").alias("s_tiles"), F.ceil(F.count("*") / query_rows).cast("int").alias("q_tiles"))
     tiled = routed.join(F.broadcast(counts), "shard")
     s_tile, q_tile = F.pmod(F.xxhash64("fp"), F.col("s_tiles")).cast("int"), F.pmod(F.xxhash64("fp"), F.col("q_tiles")).cast("int")
