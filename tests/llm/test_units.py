@@ -132,6 +132,8 @@ def test_page_lines():
     page = '<title>x</title><body><header>Top</header><p>A &lt;b&gt;<br>c<p><b>Q</b><div class="ad box">buy</div><ul id=sideBar><li>s</ul><article><header><h1>T</h1></header><p>x<script>var t="</p>";</script>y<form>f</form></article><footer>f'
     kept = [(text, article) for text, shown, article, _ in html.page_lines(page) if shown]
     assert kept == [("A <b> c", False), ("Q", False), ("T", True), ("xy", True)]
+    page = '<body class="has-sidebar comments-open"><div class="content with-sidebar"><div class=menu>m</div><article><p>one <span class="ad">AD</span>two <button>Share</button></p><div class="share">s</div></article><section class="comments"><article class="c"><p>reader</p></article></section></div>'
+    assert [text for text, shown, *_ in html.page_lines(page) if shown] == ["one two"]
     assert html.page_lines(None) == [] and html.page_lines("<p") == [("<p", True, False, False)]
 
 
