@@ -25,5 +25,6 @@ ORACLES: dict[str, str] = {
     "op3_licences": licences.op3_sql(),
     "op5_chat": chat.OP5_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_exactdedup": exactdedup.OP9_SQL,
 }
