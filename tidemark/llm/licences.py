@@ -2,10 +2,13 @@
 
 Sentences of a text are normalised and mapped to the identifiers of known licence sentences; the identifiers
 of a document, in order, are matched against ordered rules. The earliest rule in the list whose sequence stands in them names the licence.
+A known sentence may be wrapped over lines.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,30 @@ SENTENCES = [
     ("bsd-endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("all-rights", "all rights reserved"),
 ]
+#: Whole sentences of the canonical notices and common variants of them, beyond those that the SQL of the query knows.
+CANONICAL = [
+    ("apache-licensed", "licensed under the apache license version 2 0 the license"),
+    ("apache-licensed", "the asf licenses this file to you under the apache license version 2 0 the license"),
+    ("apache-licensed", "this project is licensed under the apache license version 2 0"),
+    ("apache-copy", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-copy", "you may obtain a copy of the license at https www apache org licenses license 2 0"),
+    ("as-is-law", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("mit-licensed", "this project is licensed under the mit license"),
+    ("mit-licensed", "this software is licensed under the mit license"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit-notice", "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("gpl-redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license"),
+    ("gpl-redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license"),
+    ("gpl-redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl-hope", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("bsd-endorse", "neither the name of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "neither the name of the author nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-endorse", "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+]
 #: Rules in order of precedence: licence and the identifiers that must follow each other.
 RULES = [
     ("Apache-2.0", ["apache-licensed", "apache-use", "apache-copy", "as-is-law"]),
@@ -52,12 +79,9 @@ RULES = [
     ("proprietary", ["all-rights"]),
 ]
 
-#: A sentence ends with a line, or with a mark that a blank follows.
-BREAKS = r"[.!?;:]?[\n\r]+|[.!?;:]+[ \t]+"
-
-
-def sentences(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), BREAKS)
+#: A sentence ends at a mark that white space follows; the end of an address counts as that of a line.
+MARKS, ADDRESS = r"[.!?;:]+[ \t\n]+", r"(https?://[^ \t\n]+)[ \t]++(?!\n)"
+END = "\x01"
 
 
 def normalise(sentence: Column) -> Column:
@@ -66,7 +90,45 @@ def normalise(sentence: Column) -> Column:
 
 
 def sentence_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SENTENCES, "identifier string, sentence string")
+    return spark.createDataFrame(SENTENCES + CANONICAL, "identifier string, sentence string")
+
+
+def marked(text: Column) -> Column:
+    """A text, normalised, with END at its ends and after each sentence; single line feeds stay."""
+    lines = F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), END, " "), r"\r\n?", "\n")
+    cut = F.regexp_replace(F.regexp_replace(lines, ADDRESS, "$1\n"), MARKS, END)
+    return F.concat(F.lit(END), F.regexp_replace(cut, r"[^a-z0-9\n\x01\x{80}-\x{10FFFF}]+", " "), F.lit(END))
+
+
+def pattern(sentences: list[str]) -> str:
+    """An expression for the known sentences in a marked text, the longest of those that begin at one place.
+
+    They begin and end at ends of sentences or lines; between two words there may be a single line feed. Lines without words
+    are blank ones and end a sentence. Sentences are joined by their common beginnings, so that a place is compared word by word with all at once.
+    """
+    tree: dict = {}
+    for sentence in sentences:
+        node = tree
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def rest(node: dict) -> str:
+        found = []
+        for word in sorted(node, reverse=True):  # the end comes last
+            path, below = [word], node[word]
+            while len(below) == 1 and "" not in below:
+                (step, below), *_ = below.items()
+                path.append(step)
+            found.append("(?: | ?\\n ?)".join(map(re.escape, path)) + ("(?: | ?\\n ?)" + rest(below) if set(below) - {""} and "" not in below else after(below)) if word else "")
+        return f"(?:{'|'.join(found)})"
+
+    def after(node: dict) -> str:
+        """What follows the last word of a sentence that others may go on from."""
+        more = {word: below for word, below in node.items() if word}
+        return f"(?:(?: | ?\\n ?){rest(more)}|(?= ?[\\x01\\n]))" if more else "(?= ?[\\x01\\n])"
+
+    return f"[\\x01\\n] ?({rest(tree)})"
 
 
 def scan_licences(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list[str]]] = RULES, broadcast_sentences: int = 100_000) -> DataFrame:
@@ -80,13 +142,9 @@ def scan_licences(docs: DataFrame, known: DataFrame, rules: list[tuple[str, list
     if count > broadcast_sentences:
         raise ValueError(f"more than {broadcast_sentences} known sentences")
     names = [tuple(r) for r in known.select("sentence", "identifier").collect()]
-    lengths = sorted({len(s) for s, _ in names})
-    # Only sentences about as long as a known one can normalise to it: normalising keeps the letters and never adds.
-    fits = lambda s: F.length(s) >= (lengths[0] if lengths else 0)
     table = F.create_map(*[F.lit(x) for pair in names for x in pair]) if names else F.expr("map('', '')")
-    listed = [s for s, _ in names]
-    possible = F.filter(F.transform(F.filter(sentences(F.col("text")), fits), normalise), lambda s: s.isin(listed) if listed else F.lit(False))
-    found = docs.drop("identifiers", "licence").withColumn("identifiers", F.transform(possible, lambda s: table[s]))
+    possible = F.regexp_extract_all(marked(F.col("text")), F.lit(pattern([s for s, _ in names])), F.lit(1)) if names else F.expr("cast(array() as array<string>)")
+    found = docs.drop("identifiers", "licence").withColumn("identifiers", F.transform(possible, lambda s: table[normalise(s)]))
     chain = F.concat(F.lit(" "), F.array_join("identifiers", " "), F.lit(" "))
     licence = F.coalesce(*[F.when(F.contains(chain, F.lit(f" {' '.join(ids)} ")), F.lit(name)) for name, ids in rules], F.lit(None).cast("string"))
     return found.withColumn("licence", licence)
