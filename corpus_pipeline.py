@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, langid, mixing, sharding, simhash
@@ -20,14 +20,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.accepted(langid.identify(_packed(docs), model)).select("_row.*")
 
 
+def _row_keys(docs: DataFrame) -> list[Column]:
+    """128 bits that tell the rows of ``docs`` apart by all columns but maps, which can't be hashed."""
+    hashable = [docs[f.name] for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    values = [x for c in hashable for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(k), *values).alias(f"_key_{k}") for k in (0, 1)]
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each component the row with its least doc_id; of rows that repeat that doc_id, one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key = "coalesce(cast(doc_id as string), 'null')"
-    kept = kept.select(F.expr(key).alias("_kept"))
-    rows = _packed(docs).withColumn("_key", F.expr(key)).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
-    return rows.dropDuplicates(["_key"]).select("_row.*")
+    """Keeps of each component one row: that with its least doc_id (nulls last); of rows that repeat that doc_id, the one of least hash."""
+    keys = _row_keys(docs)
+    hashed = simhash.fingerprinted(docs.select("doc_id", *keys, "text"))
+    fps = cut_lineage(hashed.groupBy("fp").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "_key_0", "_key_1")).alias("least")))
+    kept = simhash.rooted(fps).groupBy("root").agg(F.min("least").alias("least")).select("least._key_0", "least._key_1")
+    rows = docs.select(*keys, F.struct(*[docs[c] for c in docs.columns]).alias("_row")).join(kept, ["_key_0", "_key_1"], "left_semi")
+    return rows.dropDuplicates(["_key_0", "_key_1"]).select("_row.*")
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,8 +55,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+        *keys, texts = batch.columns
+        values = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*keys, pa.array(values.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
 class Tree:
@@ -191,6 +192,17 @@ def near_edges(fps: DataFrame, leaf_rows: int = LEAF_ROWS, stored_rows: int = ST
     return shards.groupBy("shard", "s", "q").applyInPandas(compare, "a long, b long")
 
 
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs``, whose last is text; its fingerprint takes the text's place."""
+    return cut_lineage(docs.mapInArrow(_fingerprints, StructType([*docs.schema.fields[:-1], StructField("fp", LongType())])))
+
+
+def rooted(fps: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) with the root, one of them, of their component."""
+    linked = components(near_edges(fps))
+    return fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id for each row of ``docs`` (doc_id and text; other columns are left out).
 
@@ -198,10 +210,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links connect, itself included. Null texts and texts without words have fingerprint 0. Rows that repeat a doc_id each
     count; a component whose doc_ids are all null has a null id.
     """
-    hashed = cut_lineage(docs.select("doc_id", "text").mapInArrow(_fingerprints, StructType([docs.schema["doc_id"], StructField("fp", LongType())])))
+    hashed = fingerprinted(docs.select("doc_id", "text"))
     fps = cut_lineage(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    linked = components(near_edges(fps))
-    nodes = fps.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = rooted(fps)
     roots = nodes.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return hashed.join(nodes.join(roots, "root").select("fp", "component_id"), "fp")
 
