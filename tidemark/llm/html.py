@@ -1,13 +1,14 @@
 """Main text of web pages: nearest-URL page differencing beside the markup.
 
 A page becomes lines, one for each block, and what its markup says of them. Pages of a host are sorted by URL path; each is paired with
-the neighbour whose path agrees longest with its own. A longest common subsequence aligns their lines, and lines that both
+the neighbour whose path agrees longest with its own; copies of itself are no neighbours. A longest common subsequence aligns their lines, and lines that both
 pages share go, as do those that the markup gives to menus, headers, footers, adverts, forms and the like. A block of an article's
 own prose stays, be it shared or not: else copies of an article would delete each other.
 """
 
 from __future__ import annotations
 
+import array
 import bisect
 import html
 import os
@@ -244,23 +245,40 @@ def extract(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """
     host, path = url_parts(F.col("url"))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("page_id").alias("salt"))
-    cuts = pages.sparkSession.sparkContext.broadcast(borders(keyed.select("host", "path", "salt"), group_rows))
+    cuts = borders(keyed.select("host", "path", "salt"), group_rows)
     ids = [pages.schema["page_id"], pages.schema["url"]]
-    read = StructType([*ids, *StructType.fromDDL("host string, path string, salt long, lines array<string>, flags array<int>, prints array<long>, near int").fields])
+    read = StructType([*ids, *StructType.fromDDL("host string, path string, salt long, lines array<string>, flags array<int>, prints array<long>, hash long, same long, near int").fields])
+    shared = pages.sparkSession.sparkContext.broadcast(cuts)
+
+    def parsed(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Row number, place in the order (host, path, salt, url, hash of the lines, hash of what copies share), group, lines, flags, prints."""
+        for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5, 1)))):
+            found = page_lines(row[0])
+            flags = [flag(x) for x in found]
+            keep = candidates(flags, [len(x[0]) for x in found])
+            prints = [xxhash.xxh64_intdigest(x[0].encode("utf-8", "surrogatepass")) - (1 << 63) for x in found]
+            place = (*row[1:5], digest(prints), digest(content(flags, keep, prints)))
+            # Lines that the markup drops are only compared.
+            yield k, place, bisect.bisect_right(shared.value, place[:3]), [x[0] if kept else None for x, kept in zip(found, keep)], flags, prints
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                found = [page_lines(h.as_py()) for h in part.column(2)]
-                # Lines that the markup drops are only compared.
-                lines = [[x[0] if keep else None for x, keep in zip(ls, candidates([flag(x) for x in ls]))] for ls in found]
-                prints = [[xxhash.xxh64_intdigest(x[0].encode("utf-8", "surrogatepass")) - (1 << 63) for x in ls] for ls in found]
-                near = [bisect.bisect_right(cuts.value, key) for key in zip(*(part.column(k).to_pylist() for k in (3, 4, 5)))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), part.column(5), pa.array(lines, pa.list_(pa.string())), pa.array([[flag(x) for x in ls] for ls in found], pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64())), pa.array(near, pa.int32())], names=read.names)
-
-    order = Window.partitionBy("near").orderBy("host", "path", "salt", "url", F.xxhash64("prints"))
-    moved = [f(c).over(order).alias(f"{name}_{c}") for name, f in (("before", F.lag), ("after", F.lead)) for c in ("host", "path", "prints")]
+                rows = []
+                for k, where, near, lines, flags, prints in parsed(part):
+                    rows.append((k, *where[:3], lines, flags, prints, *where[4:], near))
+                took = pa.array([r[0] for r in rows], pa.int64())
+                types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(took), part.column(1).take(took), *(pa.array([r[c + 1] for r in rows], t) for c, t in enumerate(types))], names=read.names)
+
+    order = ("host", "path", "salt", "url", "hash", "same")
+    found = keyed.mapInArrow(parse, read)
+    for name, window in (("before", Window.partitionBy("near").orderBy(*order)), ("after", Window.partitionBy("near").orderBy(*(F.desc(c) for c in order)))):
+        # Where a run of copies begins, the page ahead of it; within the run, the same page.
+        found = found.withColumn(name, F.when(F.lag("same").over(window) != F.col("same"), F.lag(F.struct("host", "path", "prints")).over(window)))
+        found = found.withColumn(name, F.last(name, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    moved = [F.col(f"{name}.{c}").alias(f"{name}_{c}") for name in ("before", "after") for c in ("host", "path", "prints")]
     schema = StructType([*ids, *StructType.fromDDL("text string").fields])
 
     def differ(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +289,17 @@ def extract(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                 texts = ["\n".join(main_lines(*row[2:5], nearest(row[0], row[1], [row[5:8], row[8:11]]))) for row in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=schema.names)
 
-    return keyed.mapInArrow(parse, read).select("page_id", "url", "host", "path", "lines", "flags", "prints", *moved).mapInArrow(differ, schema)
+    return found.select("page_id", "url", "host", "path", "lines", "flags", "prints", *moved).mapInArrow(differ, schema)
+
+
+def digest(prints: list[int]) -> int:
+    return xxhash.xxh64_intdigest(array.array("q", prints).tobytes()) - (1 << 63)
+
+
+def content(flags: list[int], keep: list[bool], prints: list[int]) -> list[int]:
+    """What copies of a page have in common, whatever their frames: the prose that the markup keeps, or if there is none all that it keeps."""
+    kept = [k for k, there in enumerate(keep) if there]
+    return [prints[k] for k in kept if flags[k] & 4] or [prints[k] for k in kept]
 
 
 def nearest(host: str, path: str, others: list[tuple]) -> list[int] | None:
@@ -285,19 +313,18 @@ def flag(line: tuple[str, bool, bool, bool]) -> int:
     return line[1] | line[2] << 1 | line[3] << 2
 
 
-def candidates(flags: list[int]) -> list[bool]:
-    """Lines that the markup keeps: shown ones, only those in an article if there are any."""
-    article = any(f & 3 == 3 for f in flags)
+def candidates(flags: list[int], sizes: list[int]) -> list[bool]:
+    """Lines that the markup keeps: shown ones, only those in an article if articles hold most of the prose (of all text if none is prose)."""
+    shown = [k for k, f in enumerate(flags) if f & 1]
+    judged = [k for k in shown if flags[k] & 4] or shown
+    article = 2 * sum(sizes[k] for k in judged if flags[k] & 2) > sum(sizes[k] for k in judged)
     return [bool(f & 1 and (not article or f & 2)) for f in flags]
 
 
 def main_lines(lines: list[str | None], flags: list[int], prints: list[int], other: list[int] | None) -> list[str]:
     """Lines that stay: those that the markup keeps; of them, ones that the neighbour shares only if they are prose of an article."""
-    keep, shared = candidates(flags), set(lcs(prints, other)) if other else set()
-    loose = [k for k, kept in enumerate(keep) if kept and flags[k] & 6 != 6]
-    if 2 * sum(len(lines[k]) for k in loose if k in shared) > sum(len(lines[k]) for k, kept in enumerate(keep) if kept):
-        shared = set()  # copies of one page, of which the markup names no article: what they share is no frame
-    return [lines[k] for k, kept in enumerate(keep) if kept and (k not in shared or flags[k] & 6 == 6)]
+    shared = set(lcs(prints, other)) if other else set()
+    return [line for k, line in enumerate(lines) if line is not None and (k not in shared or flags[k] & 6 == 6)]
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
