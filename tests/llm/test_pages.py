@@ -1,4 +1,6 @@
-"""Pages without article markup, and copies."""
+"""Pages without article markup, copies, and groups of any size."""
+
+import pytest
 
 from tidemark.llm import html
 
@@ -25,3 +27,16 @@ def test_copies_compare_with_the_next_page_that_differs(spark):
 def test_one_teaser_article_is_not_the_page(spark):
     body = "<article><p>Read this, too</p></article><p>The body of the page is told at length here.</p><p>And here it ends.</p>"
     assert "The body of the page is told at length here.\nAnd here it ends." in texts(spark, [(1, "http://h.x/1", body)])[1]
+
+
+@pytest.mark.parametrize("group_rows", [1, 3, 10, 2_000])
+def test_groups_of_any_size_give_the_same(spark, group_rows):
+    pages = [(k, f"http://h.x/{'a' if k < 60 else 'same'}/{k if k < 60 else 0}", f"<div>Frame</div><p>story {k} is told here</p><div>End of frame</div>") for k in range(120)]
+    assert texts(spark, pages, group_rows=group_rows) == {k: f"story {k} is told here" for k in range(120)}
+    runs = [(k, f"http://{'g' if k < 7 else 'h'}.x/{k:03}", FRAME % f"<p>story {k // 25}</p>") for k in range(120)]
+    assert texts(spark, runs, group_rows=group_rows) == {k: html_text(k) for k in range(120)}
+
+
+def html_text(k):
+    alone = f"Daily Planet, news for everyone since 1901\nstory {k // 25}\nImprint and contact: Main Street 1"
+    return alone if k < 7 else f"story {k // 25}"

@@ -247,7 +247,8 @@ def extract(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("page_id").alias("salt"))
     cuts = borders(keyed.select("host", "path", "salt"), group_rows)
     ids = [pages.schema["page_id"], pages.schema["url"]]
-    read = StructType([*ids, *StructType.fromDDL("host string, path string, salt long, lines array<string>, flags array<int>, prints array<long>, hash long, same long, near int").fields])
+    read = StructType([*ids, *StructType.fromDDL("host string, path string, salt long, lines array<string>, flags array<int>, prints array<long>, hash long, same long, near int, own boolean").fields])
+    ends = StructType.fromDDL("host string, path string, salt long, url string, hash long, same long, near int")
     shared = pages.sparkSession.sparkContext.broadcast(cuts)
 
     def parsed(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -261,15 +262,23 @@ def extract(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
             # Lines that the markup drops are only compared.
             yield k, place, bisect.bisect_right(shared.value, place[:3]), [x[0] if kept else None for x, kept in zip(found, keep)], flags, prints
 
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(*where, near) for _, where, near, *_ in parsed(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32()))], names=ends.names)
+
+    lookups = pages.sparkSession.sparkContext.broadcast(_carried(keyed.withColumn("url", F.col("url").cast("string")).mapInArrow(place, ends)) if cuts else {})
+
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 rows = []
                 for k, where, near, lines, flags, prints in parsed(part):
-                    rows.append((k, *where[:3], lines, flags, prints, *where[4:], near))
+                    rows.append((k, *where[:3], lines, flags, prints, *where[4:], near, True))
+                    rows += [(k, *where[:3], None, None, prints, *where[4:], group, False) for group in lookups.value.get(where, ())]
                 took = pa.array([r[0] for r in rows], pa.int64())
-                types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32())
+                types = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(took), part.column(1).take(took), *(pa.array([r[c + 1] for r in rows], t) for c, t in enumerate(types))], names=read.names)
 
     order = ("host", "path", "salt", "url", "hash", "same")
@@ -289,7 +298,34 @@ def extract(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                 texts = ["\n".join(main_lines(*row[2:5], nearest(row[0], row[1], [row[5:8], row[8:11]]))) for row in rows]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=schema.names)
 
-    return found.select("page_id", "url", "host", "path", "lines", "flags", "prints", *moved).mapInArrow(differ, schema)
+    return found.where("own").select("page_id", "url", "host", "path", "lines", "flags", "prints", *moved).mapInArrow(differ, schema)
+
+
+def _carried(places: DataFrame) -> dict[tuple, list[int]]:
+    """Places of pages that other groups look up, with those groups: the last two ahead of a group and the first two after it that are no copies of each other.
+
+    As many as four for each group; groups are at most one more than borders.
+    """
+    order = ("host", "path", "salt", "url", "hash", "same")
+    at = F.struct(*order)
+    runs = places.groupBy("near", "same").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    ranked = runs.select("near", "low", "high", F.row_number().over(Window.partitionBy("near").orderBy("low")).alias("first"), F.row_number().over(Window.partitionBy("near").orderBy(F.desc("high"))).alias("last"))
+    edges: dict[int, tuple[dict, dict]] = {}
+    for r in ranked.where("first <= 2 OR last <= 2").collect():
+        firsts, lasts = edges.setdefault(r["near"], ({}, {}))
+        if r["first"] <= 2:
+            firsts[r["first"]] = tuple(r["low"])
+        if r["last"] <= 2:
+            lasts[r["last"]] = tuple(r["high"])
+    out: dict[tuple, list[int]] = {}
+    for side, groups in ((1, sorted(edges)), (0, sorted(edges, reverse=True))):
+        ahead: list[tuple] = []  # the nearest page, and the nearest that is no copy of it
+        for group in groups:
+            for where in ahead:
+                out.setdefault(where, []).append(group)
+            near = [edges[group][side][k] for k in sorted(edges[group][side])] + ahead
+            ahead = [near[0], *[where for where in near if where[-1] != near[0][-1]][:1]]
+    return out
 
 
 def digest(prints: list[int]) -> int:
