@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Training follows the regularised leader (FTRL-proximal) with elastic-net penalties on a bounded,
-documented sample; document frequencies come from all training documents; a temperature, fitted on sampled documents that training
-left out, calibrates the probabilities.
+documented sample; document frequencies come from all training documents; a temperature calibrates the probabilities: it is fitted, fold by
+fold, on sampled documents that the fold's training left out.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql.types import StructType
 #: N-grams of 1 to 3 letters are hashed into so many features.
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
-#: The classifier is fitted on about so many documents in all, dealt evenly to the languages, of which the most frequent count.
-SAMPLE, MAX_LANGS = 2_000, 64
-#: Of the sample, one document in so many goes to calibration instead.
+#: The classifier is fitted on about so many documents in all, dealt evenly to the languages, but on about so many of each at least.
+SAMPLE, LEAST = 2_000, 20
+#: The sample is cut into so many folds for calibration.
 CALIBRATE = 5
 UNDECIDED = "und"
 #: Below this probability, or undecided, a document is rejected. Texts of two languages score about a half and stay.
@@ -112,8 +112,29 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha
             g = values[:, None] * p[None, :]
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
             z[index], n[index] = zi + g - sigma * w, ni + g * g
-    w = solve(z, n, np.append(np.full(FEATURES, l1), 0.0)[:, None])
-    return w[:-1].astype(np.float32), 0.1 * w[-1]
+    weights = np.empty((FEATURES, classes), np.float32)
+    for k in range(0, FEATURES, 1024):
+        weights[k : k + 1024] = solve(z[k : k + 1024][: FEATURES - k], n[k : k + 1024][: FEATURES - k], np.float64(l1))
+    return weights, 0.1 * solve(z[-1], n[-1], np.float64(0.0))
+
+
+def calibrate(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int) -> float:
+    """The temperature for rows in the order of their draw, at every size: each language's rows are dealt to folds in turn, and each fold is judged by the others.
+
+    The only row of a language is left out: where nothing was learned of a language, its score tells nothing.
+    """
+    seen, folds = np.zeros(classes, int), []
+    for *_, target in rows:
+        folds.append(seen[target] % CALIBRATE)
+        seen[target] += 1
+    logits, targets = [], []
+    for fold in range(CALIBRATE):
+        judged = [r for r, at in zip(rows, folds) if at == fold and seen[r[2]] > 1]
+        if judged:
+            weights, bias = fit_ftrl([r for r, at in zip(rows, folds) if at != fold], classes)
+            logits += [values @ weights[index] + bias for index, values, _ in judged]
+            targets += [target for *_, target in judged]
+    return fit_temperature(np.array(logits), np.array(targets, int))
 
 
 def fit_temperature(logits: np.ndarray, targets: np.ndarray) -> float:
@@ -148,13 +169,13 @@ def _sample_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([i.tobytes() for i in index], pa.binary()), pa.array([r[2][i].astype(np.int32).tobytes() for r, i in zip(rows, index)], pa.binary())], names=["lang", "key", "index", "counts"])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) -> LanguageModel:
-    """Learns from text and lang of the rows of ``docs`` (doc_id, text, lang) that aren't held out.
+def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
+    """Learns every language from text and lang of the rows of ``docs`` (doc_id, text, lang) that aren't held out.
 
-    The driver gets about ``sample`` rows of features, never over twice as many, and one row per feature.
+    The driver gets about ``sample`` rows of features, or LEAST of each language if these are more, never over twice as many, and one row per feature.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counted = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counted = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     idf = np.ones(FEATURES)
     if not counted:
         return LanguageModel([], idf, np.zeros((FEATURES, 0), np.float32), np.zeros(0))
@@ -163,23 +184,24 @@ def train(docs: DataFrame, sample: int = SAMPLE, max_langs: int = MAX_LANGS) ->
     for feature, n in frequencies:
         df[feature] = n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    # A hash of doc_id below a bound that each language's count gives: about as many rows of each, without a shuffle.
-    share = lambda n: int(min(1.0, sample / len(counted) / n) * (1 << 32))
-    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(share(n))) for lang, n in counted.items()])
-    chosen = labelled.withColumn("key", F.xxhash64("doc_id")).where(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) < bound)
-    rows = chosen.select("text", "lang", "key").mapInArrow(_sample_features, "lang string, key long, index binary, counts binary").limit(2 * sample).collect()
+    # A hash of doc_id (of the text without one) below a bound that each language's count gives: about as many rows of each, without a shuffle.
+    each = max(sample / len(counted), LEAST)
+    bounds = docs.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * (1 << 32))) for lang, n in counted.items()], "lang string, bound long")
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    chosen = labelled.withColumn("key", key).join(F.broadcast(bounds), "lang").where(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) < F.col("bound"))
+    rows = chosen.select("text", "lang", "key").mapInArrow(_sample_features, "lang string, key long, index binary, counts binary").limit(int(2 * each * len(counted))).collect()
     languages = sorted({r["lang"] for r in rows})
     model = LanguageModel(languages, idf, np.zeros((FEATURES, len(languages)), np.float32), np.zeros(len(languages)))
     if not languages:
         return model
     coded = []
+    place = {lang: k for k, lang in enumerate(languages)}
     for r in sorted(rows, key=lambda r: (r["key"], r["lang"], len(r["index"]))):
         counts = np.zeros(FEATURES, np.int64)
         counts[np.frombuffer(r["index"], np.int32)] = np.frombuffer(r["counts"], np.int32)
-        coded.append((*model.features(counts), languages.index(r["lang"])))
-    fitted, kept = [c for k, c in enumerate(coded) if k % CALIBRATE or len(coded) < 50], [c for k, c in enumerate(coded) if not k % CALIBRATE and len(coded) >= 50]
-    model.weights, model.bias = fit_ftrl(fitted, len(languages))
-    model.temperature = fit_temperature(np.array([model.logits(i, v) for i, v, _ in kept]), np.array([t for *_, t in kept], int))
+        coded.append((*model.features(counts), place[r["lang"]]))
+    model.weights, model.bias = fit_ftrl(coded, len(languages))
+    model.temperature = calibrate(coded, len(languages))
     return model
 
 
