@@ -13,6 +13,7 @@ import bisect
 import html
 import os
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,9 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: About so many neighbouring pages are sorted together; keys between groups, at most so many, are broadcast.
-GROUP_ROWS, MAX_BORDERS = 2_000, 50_000
+GROUP_ROWS, MAX_BORDERS = 256, 50_000
+#: Elements that stand deeper than this don't nest any further.
+MAX_DEPTH = 512
 
-_TOKEN = re.compile(r"<!--(?:.*?--!?>|.*)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|[^<]+|<", re.S)
+_TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_SIGN = re.compile(r"[\"'<>]")
+_COMMENT_END = re.compile(r"--!?>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPACE = re.compile(r"[\s\x1c-\x1f]+")
@@ -36,13 +41,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that start a block of their own.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that hold no main text.
-ASIDE = frozenset("head nav aside footer form button select datalist template svg math canvas object audio video map dialog menu search input label".split())
+ASIDE = frozenset("head nav aside footer button select datalist template svg object audio video map menu search input".split())
 #: Blocks of prose.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th figcaption caption".split())
-#: Words of class, id and role that name no main text.
+#: Words that name menus, headers, footers, sidebars, notices, adverts and forms in class, id and role.
 BOILERPLATE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead toolbar topbar related recommended share sharing social popup modal overlay widget login search form contentinfo complementary skip toc tags".split())
 #: Words that name readers' comments, articles though these may hold.
 READERS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+#: Words that say where or how something is shown: they don't change what a name with one of the above means, as any other word does.
+PLACES = frozenset("area bar block body bottom box center col column container content entry first global group inner item items last layout left links link list main outer page panel primary right row secondary section site small title top unit wrap wrapper".split())
 #: Standings of an element: out for good, out unless an article is in it, in.
 DROPPED, FRAMED, SHOWN = range(3)
 #: Elements that an end tag or a new block of the same kind closes implicitly.
@@ -51,9 +58,15 @@ _P_ENDERS = BLOCK - {"head", "body", "html"}
 
 
 def _names(attributes: str) -> set[str]:
-    """Words of class, id and role."""
-    found = (a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ()
-    return {word for name in found for word in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())}
+    """Words of those names in class, id and role that say nothing but one of BOILERPLATE or READERS and its place."""
+    out: set[str] = set()
+    for a, b, c in _NAMES.findall(attributes) if attributes else ():
+        for name in (a or b or c).split():
+            words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
+            kinds = words & (BOILERPLATE | READERS)
+            if kinds and words - kinds <= PLACES:
+                out |= kinds
+    return out
 
 
 class _Reader:
@@ -61,28 +74,31 @@ class _Reader:
 
     def __init__(self):
         self.lines: list[tuple[str, bool, bool, bool]] = []
-        self.stack: list[tuple[str, int, bool]] = []  # name, standing, in an article
+        self.stack: list[tuple[str, int, bool, int]] = []  # name, standing, in an article, standing of the block around
+        self.open_names: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
 
-    def state(self) -> tuple[int, bool]:
-        return self.stack[-1][1:] if self.stack else (SHOWN, False)
+    def state(self) -> tuple[int, bool, int]:
+        return self.stack[-1][1:] if self.stack else (SHOWN, False, SHOWN)
 
-    def block(self) -> int:
-        """The standing of the block that is open."""
-        return next((standing for name, standing, _ in reversed(self.stack) if name in BLOCK), SHOWN)
+    def cut(self, k: int) -> None:
+        """Closes the elements from place ``k`` of the stack on."""
+        self.open_names.subtract(name for name, *_ in self.stack[k:])
+        del self.stack[k:]
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
         if text:
-            shown, article = self.block() == SHOWN, self.state()[1]
+            _, article, block = self.state()
             prose = any(name in PROSE for name, *_ in self.stack[-4:]) and 2 * self.linked <= len(text)
-            self.lines.append((text, shown, article, prose))
+            self.lines.append((text, block == SHOWN, article, prose))
         self.parts.clear()
         self.linked = 0
 
     def text(self, text: str) -> None:
-        if self.state()[0] != SHOWN and self.block() == SHOWN:
+        standing, _, block = self.state()
+        if standing != SHOWN and block == SHOWN:
             return  # a button, an advert within a line
         self.parts.append(text)
         if any(name == "a" for name, *_ in self.stack[-3:]):
@@ -92,55 +108,107 @@ class _Reader:
         if name in BLOCK:
             self.end_line()
             closes = CLOSES.get(name, set()) | ({"p"} if name in _P_ENDERS else set())
-            for k in reversed(range(len(self.stack))):
-                if self.stack[k][0] in closes:
-                    del self.stack[k:]
-                    break
-                if self.stack[k][0] in BLOCK and self.stack[k][0] not in ("p",):
-                    break
+            if any(self.open_names[c] for c in closes):
+                for k in reversed(range(len(self.stack))):
+                    if self.stack[k][0] in closes:
+                        self.cut(k)
+                        break
+                    if self.stack[k][0] in BLOCK and self.stack[k][0] not in ("p",):
+                        break
         elif name == "br":
             self.parts.append(" ")
-        if name in VOID or attributes.rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/") or len(self.stack) >= MAX_DEPTH:
             return
-        standing, article = self.state()
+        standing, article, block = self.state()
         main = name in ("article", "main") or 'role="main"' in attributes
-        words = _names(attributes)
         whole = name in ("html", "body", "main")
-        if name == "header" and not article or name in ASIDE or not whole and (words & READERS or _HIDDEN.search(attributes)):
+        words = set() if whole else _names(attributes)
+        closed = name == "dialog" and not re.search(r"\bopen\b", attributes)
+        if name == "header" and not article or name in ASIDE or closed or not whole and (words & READERS or _HIDDEN.search(attributes)):
             standing = DROPPED
         elif main and standing == FRAMED:
             standing = SHOWN  # what frames a whole article is its layout
-        elif words & BOILERPLATE and not main and not whole:
+        elif name == "form" or words and not main:
             standing = min(standing, FRAMED)
-        self.stack.append((name, standing, article or main))
+        self.stack.append((name, standing, article or main, standing if name in BLOCK else block))
+        self.open_names[name] += 1
 
     def close(self, name: str) -> None:
         if name in BLOCK:
             self.end_line()
+        if self.open_names[name] <= 0:
+            return
         for k in reversed(range(len(self.stack))):
             if self.stack[k][0] == name:
-                del self.stack[k:]
+                self.cut(k)
                 return
             # A tag of a line doesn't close a block that stands open in between.
             if name not in BLOCK and self.stack[k][0] in BLOCK:
                 return
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """Kind (text, open, close), name or text, and attributes. Each place is looked at a few times, however broken the markup is.
+
+    A tag ends at the first ``>`` outside quotes, or at the first one at all if a ``<`` or the end comes before that one.
+    A ``<`` that begins nothing is text; what follows an unclosed comment is none.
+    """
+    at, size, final = 0, len(source), {sign: source.rfind(sign) for sign in "\"'>"}
+    # Looking ahead in vain may cost a few times the source in all, whereafter quotes count no more.
+    spare = 4 * size
+
+    def tag_end(start: int) -> int:
+        nonlocal spare
+        k = start
+        while spare > 0:
+            sign = _SIGN.search(source, k)
+            if not sign or sign[0] == "<":
+                break
+            if sign[0] == ">":
+                return sign.start()
+            if final[sign[0]] <= sign.start():
+                break
+            k = source.find(sign[0], sign.end()) + 1
+        spare -= k - start
+        return source.find(">", start)
+
+    while at < size:
+        begin = source.find("<", at)
+        if begin != at:
+            begin = size if begin < 0 else begin
+            yield "text", source[at:begin], ""
+            at = begin
+            continue
+        if source.startswith("<!--", at):
+            end = _COMMENT_END.search(source, at + 2)
+            at = end.end() if end else size
+            continue
+        tag = _TAG.match(source, at) if final[">"] > at else None
+        if tag or final[">"] > at and source.startswith(("<!", "<?"), at):
+            end = tag_end(tag.end()) if tag else source.find(">", at)
+            if tag:
+                name = tag[1].lower()
+                yield "close" if source[at + 1] == "/" else "open", name, source[tag.end() : end]
+                if name in RAW and source[at + 1] != "/":
+                    closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, end)
+                    end = source.find(">", closing.end()) if closing else -1
+                    end = size if end < 0 else end
+            at = end + 1
+        else:
+            yield "text", "<", ""
+            at += 1
+
+
 def page_lines(source: str | None) -> list[tuple[str, bool, bool, bool]]:
     """Lines of a page with: shown by the markup, in an article, prose. Character references are decoded."""
-    reader, at, source = _Reader(), 0, source or ""
-    while m := _TOKEN.match(source, at):
-        at, name = m.end(), (m[2] or m[5] or "").lower()
-        if not name:
-            if not m[0].startswith("<") or m[0] == "<":
-                reader.text(m[0])
-        elif m[1] or m[4]:
-            reader.close(name)
-        elif name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
-        else:
-            reader.open(name, m[3] or m[6] or "")
+    reader = _Reader()
+    for kind, value, attributes in tokens(source or ""):
+        if kind == "text":
+            reader.text(value)
+        elif kind == "close":
+            reader.close(value)
+        elif value not in RAW:
+            reader.open(value, attributes)
     reader.end_line()
     return reader.lines
 
@@ -230,10 +298,11 @@ def borders(keys: DataFrame, group_rows: int = GROUP_ROWS, most: int = MAX_BORDE
 
     It is bounded by ``most``, above which groups grow. The salt, a hash of page_id, cuts the pages of one URL, too.
     """
-    groups = min(most, keys.count() // group_rows)
+    rows = keys.count()
+    groups = min(most, rows // group_rows)
     if not groups:
         return []
-    every = max(1, keys.count() // groups)
+    every = max(1, rows // groups)
     sample = keys.where(F.pmod(F.xxhash64("host", "path", "salt", F.lit(1)), F.lit(every)) == 0).distinct().limit(2 * most)
     return sorted(tuple(r) for r in sample.select("host", "path", "salt").collect())
 
