@@ -15,18 +15,32 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
 
 
-def near_groups(texts):
-    """Least doc_id of each document's component, over all pairs."""
+def mixed_hash(h, k):
+    """The k-th hash made of h."""
+    if not k:
+        return h
+    h = (h + k * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    h = (h ^ h >> 31) * 0x94D049BB133111EB & (1 << 64) - 1
+    return h ^ h >> 29
+
+
+def prints(text):
+    """Prints of 64 and of 256 bits, of distinct words and of five-word shingles."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", lower(text).encode())
+    shingles = [b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+    out = []
+    for strings, count in ((set(words), 1), (shingles, 4)):
+        hashes = [xxhash.xxh64_intdigest(s, 42) for s in strings]
+        out += [sum(1 << b for b in range(64) if 2 * sum(mixed_hash(h, k) >> b & 1 for h in hashes) > len(hashes)) for k in range(count)]
+    return out
 
-    def fingerprint(text):
-        words = re.findall(rb"[^\x20\x09-\x0D]+", lower(text).encode())
-        shingles = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
-        hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
+def near_groups(texts):
+    """Least doc_id of each document's component, over all pairs."""
     ids = sorted(texts)
-    values = np.array([fingerprint(texts[i]) for i in ids], np.uint64)
-    linked, label = np.bitwise_count(values[:, None] ^ values[None, :]) <= 3, np.arange(len(ids))
+    values = np.array([prints(texts[i]) for i in ids], np.uint64)
+    bits = np.bitwise_count(values[:, None] ^ values[None, :]).astype(int)
+    linked, label = (bits[:, :, 0] <= 5) & (bits[:, :, 1:].sum(axis=2) <= 42), np.arange(len(ids))
     while not np.array_equal(new := np.array([label[row].min() for row in linked]), label):
         label = new
     return {i: ids[label[k]] for k, i in enumerate(ids)}

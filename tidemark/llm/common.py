@@ -38,8 +38,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: A key with over one of so many rows is hot.
+HOT = 256
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each ``key`` once and, in ``weight``, how many rows have it.
+
+    The table's rows of hot keys, HOT of them at most, are broadcast, so that their rows stay where they are; the rest is joined as Spark sees fit.
+    """
+    least = (rows.count() if total is None else total) // HOT + 1
+    hot = table.where(F.col(weight) >= least)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) < least), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key).select(rest.columns))
+
+
+def volume(docs: DataFrame) -> tuple[int, int]:
+    """Rows of ``docs``, and its size in rows or in KB of text, whichever is more: what buckets of rows that carry their text are cut by."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return rows, max(rows, (size or 0) >> 10)
+
+
 def bucket_bits(rows: int, rows_per_bucket: int) -> int:
-    """Bits for so many even buckets that each holds about ``rows_per_bucket`` rows."""
+    """Bits for so many even buckets that each holds about ``rows_per_bucket`` rows (or bytes)."""
     return min(28, max(0, (max(rows, 1) // max(rows_per_bucket, 1)).bit_length()))
 
 

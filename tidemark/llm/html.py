@@ -294,16 +294,17 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def borders(keys: DataFrame, group_rows: int = GROUP_ROWS, most: int = MAX_BORDERS) -> list[tuple[str, str, int]]:
-    """Keys (host, path, salt) that cut the pages, in order of their keys, into groups of about ``group_rows``: a sample by hash.
+    """Keys (host, path, salt) that cut the pages, in order of their keys, into groups of about ``group_rows`` pages of mean size, fewer of larger ones: a sample by hash.
 
-    It is bounded by ``most``, above which groups grow. The salt, a hash of page_id, cuts the pages of one URL, too.
+    ``keys`` has the pages' size, too. The sample is bounded by ``most``, above which groups grow. The salt, a hash of page_id, cuts the pages of one URL, too.
     """
-    rows = keys.count()
+    rows, size = keys.agg(F.count("*"), F.sum("size")).first()
     groups = min(most, rows // group_rows)
     if not groups:
         return []
-    every = max(1, rows // groups)
-    sample = keys.where(F.pmod(F.xxhash64("host", "path", "salt", F.lit(1)), F.lit(every)) == 0).distinct().limit(2 * most)
+    share = (F.lit(0.5) + F.lit(0.5) * F.col("size") / F.lit(max(size, 1) / rows)) * F.lit(groups / rows)
+    drawn = F.shiftrightunsigned(F.xxhash64("host", "path", "salt", F.lit(1)), 11) < share * F.lit(float(1 << 53))
+    sample = keys.where(drawn).select("host", "path", "salt").distinct().limit(3 * most)
     return sorted(tuple(r) for r in sample.select("host", "path", "salt").collect())
 
 
@@ -314,7 +315,7 @@ def extract(pages: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """
     host, path = url_parts(F.col("url"))
     keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.xxhash64("page_id").alias("salt"))
-    cuts = borders(keyed.select("host", "path", "salt"), group_rows)
+    cuts = borders(keyed.select("host", "path", "salt", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size")), group_rows)
     ids = [pages.schema["page_id"], pages.schema["url"]]
     read = StructType([*ids, *StructType.fromDDL("host string, path string, salt long, lines array<string>, flags array<int>, prints array<long>, hash long, same long, near int, own boolean").fields])
     ends = StructType.fromDDL("host string, path string, salt long, url string, hash long, same long, near int")
