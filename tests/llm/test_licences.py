@@ -36,8 +36,8 @@ GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either versio
 NOTICES = {
     "apache": (APACHE, "Apache-2.0", ["apache-licensed", "apache-use", "apache-copy", "as-is-law"]),
     "mit": (MIT, "MIT", ["mit-grant", "mit-notice", "as-is"]),
-    "bsd2": (BSD2 + WARRANTY, "BSD-2-Clause", ["bsd-redistribution"]),
-    "bsd3": (BSD3, "BSD-3-Clause", ["bsd-redistribution", "bsd-endorse"]),
+    "bsd2": (BSD2 + WARRANTY, "BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
+    "bsd3": (BSD3, "BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse"]),
     "gpl2": (GPL2, "GPL", ["gpl-redistribute", "gpl-hope"]),
     "gpl3": (GPL3, "GPL", ["gpl-redistribute", "gpl-hope"]),
 }
@@ -60,7 +60,7 @@ def test_sentences_end_at_marks_and_blank_lines(spark):
     texts = ["Released under\nthe MIT License", "Released under\n\nthe MIT License", "Released under\n--\nthe MIT License", "Released under. the MIT License", "not Released under the MIT License", "no mark\nReleased under the MIT License\nno mark", "Released under the MIT License of old", "This work is\nlicensed under the GNU General Public License, version 3.", "a\x01Released under the MIT License", None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = [r["identifiers"] for r in licences.scan_licences(docs, licences.sentence_table(spark)).orderBy("doc_id").collect()]
-    assert found == [["mit-released"], [], [], [], [], ["mit-released"], [], ["gpl3-work"], [], [], []]
+    assert found == [["mit-released"], [], [], [], ["mit-released"], ["mit-released"], ["mit-released"], ["gpl3-work"], ["mit-released"], [], []]
 
 
 def test_known_sentences_that_begin_alike(spark):
@@ -69,3 +69,30 @@ def test_known_sentences_that_begin_alike(spark):
     found = [r["identifiers"] for r in licences.scan_licences(docs, known, []).orderBy("doc_id").collect()]
     assert found == [["abc"], ["abd", "x"], ["ab", "bc"], ["ab", "x", "x", "bc"], ["url"]]
     assert [r["identifiers"] for r in licences.scan_licences(docs, known.limit(0)).collect()] == [[]] * 5
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_all_licences_of_a_text(spark, block):
+    expected = [
+        ("Licensed under the Apache License, Version 2.0. Parts are released under the\nMIT license.", "Apache-2.0 MIT"),
+        ("This code is licensed under the MIT license.", "MIT"),
+        (APACHE + "\n\n" + MIT + "\n\n" + BSD3, "Apache-2.0 MIT BSD-3-Clause"),
+        (BSD3 + "\nAll rights reserved.", "BSD-3-Clause"),
+        ("Copyright 2020 Anna. All rights reserved.", "proprietary"),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later\nint main;", "GPL-2.0-or-later"),
+        ("# SPDX-License-Identifier: MIT", "MIT"),
+        ("distributed under the Mozilla Public License, version 2.0", "MPL-2.0"),
+        (GPL3.replace("General", "Lesser General").replace("This program is dist", "This library is dist"), "LGPL"),
+        ("Licensed under the GNU Affero General Public License, Version 3; and under the BSD 2-Clause License, too", "AGPL-3.0"),
+        ("nothing known", ""),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(expected)], "doc_id long, text string")
+    found = licences.scan_licences(docs, licences.sentence_table(spark), block=block).orderBy("doc_id").collect()
+    assert [" ".join(r["licences"]) for r in found] == [names for _, names in expected]
+    assert [r["licence"] for r in found] == [names.split(" ")[0] or None for _, names in expected]
+
+
+def test_the_catalogue():
+    known, rules = licences.catalogue()
+    assert len(known) > 200 and len({s for _, s in known}) == len(known)
+    assert {i for _, ids in rules for i in ids} <= {i for i, _ in known} and all(licences.normalise(s) == s for _, s in known)
