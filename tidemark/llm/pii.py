@@ -73,24 +73,33 @@ def base_spans(text: str | None) -> dict[str, list[Span]]:
 
 
 def _example(draw: random.Random) -> tuple[str, list[str]]:
-    """An entity that the rules don't cover, as its tag and tokens."""
+    """An entity as its tag and tokens: in half of the cases one that the rules cover, so that its surroundings are learned, else one that they miss."""
     n = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(draw.choice("abcdefghijklmnoprstuvwz") for _ in range(draw.randint(3, 8)))
-    kind = draw.choice(KINDS)
+    word = lambda: "".join(draw.choice("abcdefghijklmnoprstuvwz") for _ in range(draw.randint(3, 8 if draw.random() < 0.9 else 90)))
+    kind, covered = draw.choice(KINDS), draw.random() < 0.5
     if kind == "email":
+        if covered:
+            return kind, [f"{word()}{draw.choice(['', '.', '_'])}{draw.choice(['', n(2)])}@{word()}{draw.choice(['', n(1)])}.{draw.choice(['', 'example.'])}{draw.choice(['com', 'org', 'net', 'de', 'fr'])}"]
         at, dot = draw.choice(["[at]", "(at)", "{at}"]), draw.choice(["[dot]", "(dot)", "{dot}", "."])
         joined = draw.random() < 0.5
         host = f"{word()}{dot}{draw.choice(['com', 'org', 'net', 'de', 'fr'])}" if joined or dot == "." else f"{word()} {dot} com"
         return kind, (f"{word()}{at}{host}" if joined else f"{word()} {at} {host}").split(" ")
     if kind == "ip":
+        parts = [str(draw.randrange(256)) for _ in range(4)]
+        if covered:
+            return kind, [".".join(parts)]
         if draw.random() < 0.5:
             return kind, [":".join(f"{draw.randrange(65536):x}" for _ in range(8))]
-        return kind, ["[.]".join(str(draw.randrange(256)) for _ in range(4))]
+        return kind, ["[.]".join(parts)]
     if kind == "card":
-        body = "4" + n(14)
+        body = draw.choice("456") + n(14)
         number = next(body + d for d in "0123456789" if luhn(body + d))
-        sign = draw.choice([".", "/", "_"])
-        return kind, [sign.join(number[k : k + 4] for k in range(0, 16, 4))]
+        if covered and draw.random() < 0.5:
+            return kind, [number]
+        sign = draw.choice([" ", "-"] if covered else [".", "/", "_"])
+        return kind, sign.join(number[k : k + 4] for k in range(0, 16, 4)).split(" ")
+    if covered:
+        return kind, draw.choice([f"+{n(1)} ({n(3)}) {n(3)}-{n(4)}", f"+{n(2)} {n(3)} {n(7)}", f"+{n(11)}", f"+{n(1)}-{n(3)}-{n(3)}-{n(4)}"]).split(" ")
     return kind, draw.choice([f"({n(3)}) {n(3)}-{n(4)}", f"{n(3)}-{n(3)}-{n(4)}", f"{n(3)}.{n(3)}.{n(4)}", f"00{n(2)} {n(3)} {n(7)}", f"({n(3)}) {n(3)} {n(4)}"]).split(" ")
 
 
@@ -100,17 +109,32 @@ def _distractor(draw: random.Random) -> str:
     return draw.choice([n(draw.randint(1, 20)), f"{n(1)}.{n(1)}.", f"({n(2)})", f"{n(4)}-{n(2)}-{n(2)}", f"{n(2)}:{n(2)}", f"{n(1)},{n(3)}", f"{n(2)}/{n(2)}/{n(4)}", f"password={h(18)}", f'"{h(40)}"', f"AKIA{h(16).upper()}", f"[{n(1)}]", "(see", "note)", f"{n(4)}-{n(4)}", f"v{n(1)}.{n(2)}.{n(1)}", f"{n(3)}.{n(3)}.{n(3)}.{n(3)}.{n(3)}", f"a_{h(4)}", f"https://{h(5)}.example.org/{n(3)}", f"{n(16)}", f"{n(4)} {n(4)}", "a/b", f"{h(4)}:{h(4)}", f"+{n(2)}"])
 
 
-def labelled_table(spark: SparkSession, sentences: int = 600, seed: int = 7) -> DataFrame:
-    """The default training table: sentence, position, token, tag."""
+def labelled_table(spark: SparkSession, sentences: int = 900, seed: int = 7) -> DataFrame:
+    """The default training table: sentence, position, token, tag. Words, marks around them and entities side by side are as in documents."""
     draw, rows = random.Random(seed), []
-    plain = lambda: "".join(draw.choice("abcdeghilmnoprstuy") for _ in range(draw.randint(1, 9))) + draw.choice(["", "", "", "", ",", "."])
+    letters = draw.choice(["abcdeghilmnoprstuy", "abcdeéèghilmnoprstuyñçüß"])
+    ends = ["", "", "", "", "", "", ",", ".", "!!", "?", ";", "***", "$$$", "###"]
+
+    def plain() -> str:
+        if draw.random() < 0.04:
+            return draw.choice(["|", "-", "&", "=", "token", "*"])
+        word = "".join(draw.choice(letters) for _ in range(draw.randint(1, 9)))
+        return draw.choice([word, word, word, word.capitalize(), word.upper()]) + draw.choice(ends)
+
     for s in range(sentences):
+        letters = draw.choice(["abcdeghilmnoprstuy", "abcdeéèghilmnoprstuyñçüß"])
         tokens = [(plain(), "other") for _ in range(draw.randint(1, 4))]
         for _ in range(draw.randint(0, 2)):
             if draw.random() < 0.5:
-                tag, entity = _example(draw)
-                entity[-1] += draw.choice(["", "", "", ",", "."])
-                tokens += [(t, tag) for t in entity]
+                before = None
+                while True:
+                    tag, entity = _example(draw)
+                    if tag != before:
+                        before, last = tag, draw.random() < 0.7
+                        entity[-1] += draw.choice(ends) if last else ""
+                        tokens += [(t, tag) for t in entity]
+                        if last:
+                            break
             else:
                 tokens += [(t, "other") for t in _distractor(draw).split(" ")]
             tokens += [(plain(), "other") for _ in range(draw.randint(1, 4))]
@@ -129,17 +153,18 @@ _MARK_TABLE[[ord(c) for c in _MARKS]] = True
 
 
 def shape(token: str) -> str:
-    """Letters, capitals and digits as x, X and d, runs of up to four kept, of more as a plus; ``w`` without a mark."""
-    if not any(c in _MARKS for c in token[:64]):
+    """Letters, capitals and digits of a whole token as x, X and d, runs of letters as one, of up to four digits as they are, of more as a plus; a run of digits that passes Luhn's test ends in L; ``w`` without a mark."""
+    if not any(c in _MARKS for c in token):
         return "w"
-    drawn = re.sub(r"(\w)\1{4,}", r"\1+", token[:64].rstrip(".,;!?").translate(_SHAPES))
-    return re.sub(r"x[x+]*", "x", drawn)[:24] + ("~" if len(token) > 64 else "")
+    bare = token.rstrip(".,;!?*$#&%")
+    drawn = re.sub(r"([Xd])\1{4,}", r"\1+", re.sub(r"x+", "x", bare.translate(_SHAPES)))
+    return drawn + "L" if drawn == "d+" and 13 <= len(bare) <= 19 and luhn(bare) else drawn
 
 
 def _features(shapes: list[str], k: int) -> list[str]:
     at = lambda j: shapes[j] if 0 <= j < len(shapes) else "w"
     s = at(k)
-    signs = "".join(sorted(set(re.sub(r"[xXdw+~]", "", s))))
+    signs = "".join(sorted(set(re.sub(r"[xXdwL+]", "", s))))
     return [f"s={s}", f"r={re.sub(r'd+', 'd', s)}", f"p={signs}", f"n={min(s.count('d'), 12)}", f"-1={at(k - 1)}", f"+1={at(k + 1)}", f"-1,0={re.sub(r'd+', 'd', at(k - 1))},{s}", f"0,+1={s},{re.sub(r'd+', 'd', at(k + 1))}", f"0,p={signs},{min(s.count('d'), 12)}", "1"]
 
 
@@ -246,7 +271,7 @@ def _holds(kind: str, text: str) -> bool:
     if kind == "card":
         return 13 <= len(digits) <= 19 and luhn(digits)
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+\s*[\[({<]\s*at\s*[\])}>]\s*[\w-]+(\s*([\[({<]\s*dot\s*[\])}>]|\.)\s*[\w-]+)+", text, re.I))
+        return bool(re.fullmatch(r"[\w.%+-]+\s*(?:@|[\[({<]\s*at\s*[\])}>])\s*[\w-]++(\s*([\[({<]\s*dot\s*[\])}>]|\.)\s*[\w-]++)+", text, re.I))
     try:
         ipaddress.ip_address(text.replace("[.]", "."))
         return "." in text or text.count(":") >= 2
@@ -274,7 +299,7 @@ class Finder:
         self.field, self.certain, self.seen = field, field.plain_is_certain(), {}
 
     def _score(self, shapes: tuple[str, ...]) -> np.ndarray:
-        if len(shapes) > 40:
+        if sum(map(len, shapes)) > 400:
             return self.field.scores(list(shapes))
         if shapes not in self.seen:
             if len(self.seen) > 20_000:
