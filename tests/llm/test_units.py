@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, exactdedup, html, langid, pii, simhash
 from tidemark.llm.components import components
@@ -86,8 +87,15 @@ def test_scan_in_blocks_is_the_scan_in_one():
     draw = random.Random(2)
     docs = [[b"%d" % draw.randrange(5) for _ in range(draw.randrange(60))] for _ in range(30)]
     items = [(str(k), [b"%d" % draw.randrange(5) for _ in range(draw.randint(1, 6))]) for k in range(12)]
-    whole = list(decontaminate.scan(docs, [decontaminate.Phrases(items, 4)], 4))
-    assert whole == list(decontaminate.scan(docs, [decontaminate.Phrases(items[:5], 4), decontaminate.Phrases(items[5:], 4)], 4))
+
+    def group(*parts):
+        vocabulary = {}
+        blocks = [decontaminate.Phrases(p, vocabulary, 4) for p in parts]
+        return vocabulary, min(b.shortest for b in blocks), blocks
+
+    whole = list(decontaminate.scan(docs, [group(items)], 4))
+    assert whole == list(decontaminate.scan(docs, [group(items[:5], items[5:])], 4))
+    assert whole == list(decontaminate.scan(docs, [group(items[:5]), group(items[5:])], 4))
     for doc, (spans, names) in zip(docs, whole):
         hit, want = set(), set()
         for name, ws in items:
@@ -211,3 +219,91 @@ def test_long_texts_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1(" * 100_000, "a@" * 150_000, "1 " * 150_000):
         pii.base_spans(text)
     html.page_lines("<div>" * 3000 + "x" + "<p>y" * 20_000)
+
+
+def test_benchmark_in_blocks_and_vocabularies(spark):
+    items = spark.createDataFrame([(k, f"a{k} b c{k} d e{k % 3}") for k in range(30)] + [(99, None), (None, "x y")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"z a{k} b c{k} d e{k % 3} x y") for k in range(40)], "doc_id long, text string")
+    whole = sorted(map(tuple, decontaminate.find_contamination(docs, items, 3).collect()))
+    for sizes in ({"block_words": 7}, {"block_words": 7, "most_words": 20}):
+        groups = decontaminate.benchmark_groups(spark, items, 3, **sizes)
+        assert sum(len(b) for _, _, b in groups) > 10 and (len(groups) > 1) == ("most_words" in sizes)
+        found = decontaminate.scan([decontaminate.words(f"z a{k} b c{k} d e{k % 3} x y") for k in range(40)], [(v.value, s, [b.value for b in bs]) for v, s, bs in groups], 3)
+        assert [([tuple(h) for h in r[3]], r[4]) for r in whole] == list(found)
+
+
+def test_ftrl_is_the_plain_rule():
+    """Weights against the rule applied to one number at a time."""
+    draw = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):
+        index = np.sort(draw.choice(40, 6, replace=False))
+        rows.append((index, draw.random(6), int(draw.integers(3))))
+    alpha, beta, l1, l2 = 2.0, 1.0, 0.02, 0.01
+    z, n = {}, {}
+
+    def weight(i, c):
+        a, penalty = z.get((i, c), 0.0), 0.0 if i == langid.FEATURES else l1
+        return 0.0 if abs(a) <= penalty else -(a - np.sign(a) * penalty) / ((beta + n.get((i, c), 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            index, values, target = rows[k]
+            at = [*zip(index.tolist(), values.tolist()), (langid.FEATURES, 0.1)]
+            now = {(i, c): weight(i, c) for i, _ in at for c in range(3)}
+            scores = [sum(x * now[i, c] for i, x in at) for c in range(3)]
+            total = sum(np.exp(s) for s in scores)
+            for i, x in at:
+                for c in range(3):
+                    g = x * (np.exp(scores[c]) / total - (c == target))
+                    before = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * now[i, c]
+                    n[i, c] = before + g * g
+    weights, bias = langid.fit_ftrl(rows, 3)
+    assert np.allclose(bias, [0.1 * weight(langid.FEATURES, c) for c in range(3)])
+    assert np.allclose(weights[:40], [[weight(i, c) for c in range(3)] for i in range(40)], atol=1e-6) and (weights[:40] != 0).any()
+
+
+def test_ngrams_are_the_plain_ones():
+    text, mask = "Ab Ç1b  a", (1 << 32) - 1
+    letters = "".join(c.lower() if c.isalpha() else " " for c in text)
+    plain = re.sub(" +", " ", f" {letters} ")
+    want = np.zeros(langid.FEATURES, np.int64)
+    for n in langid.ORDERS:
+        for k in range(len(plain) - n + 1):
+            h = 0
+            for c in plain[k : k + n]:
+                h = (h * 0x01000193 + ord(c)) & mask
+            want[((h ^ n) * 0x9E3779B1 & mask) >> 17] += 1
+    assert np.array_equal(langid.ngram_counts(text), want)
+
+
+def test_a_sample_of_rows_that_repeat(spark):
+    rows = [(1, "the same words again", "en")] * 500 + [(None, f"les mots {chr(97 + k % 26)} du jour {chr(97 + k // 26)}", "fr") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = langid.train(docs), langid.train(docs.repartition(7).orderBy(F.rand(3)))
+    assert np.array_equal(one.weights, two.weights) and one.temperature == two.temperature
+
+
+def test_logs_of_turns_fold_back(spark):
+    """Against a fold in plain Python; the log holds all kinds of events."""
+    turns = [(c, t, ["user", "assistant", None][(c + t) % 3], None if t == 5 else "".join(chr(97 + (c * t + k) % 26) for k in range(c * t * 97 % 1500)) + ("\n😀" if t % 2 else "")) for c in range(12) for t in range(6)]
+    log = chat.message_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    events = log.collect()
+    kinds = [e["kind"] for e in events]
+    assert min(kinds.count(k) for k in ("delta", "edit", "regenerate")) > 10 and len(events) > 2 * len(turns)
+    plain = {}
+    for e in sorted(events, key=lambda e: e["seq"]):
+        role, text = plain.get((e["conv_id"], e["message"]["turn"]), ("", ""))
+        plain[e["conv_id"], e["message"]["turn"]] = (e["role"] or role, (text if e["kind"] == "delta" else "") + (e["text"] or ""))
+    assert plain == {(c, t): (r or "", x or "") for c, t, r, x in turns}
+    assert {(r["conv_id"], r["message"]["turn"]): (r["role"], r["text"]) for r in chat.fold_events(log).collect()} == plain
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "decimal(20,0)", "date"])
+def test_conversations_of_any_key(spark, kind):
+    turns = spark.createDataFrame([(20000 + k // 3, k % 3, "assistant", f"t{k}") for k in range(12)], "conv_id int, turn long, role string, text string")
+    turns = turns.withColumn("conv_id", F.date_from_unix_date("conv_id") if kind == "date" else F.col("conv_id").cast(kind))
+    got = chat.conversation_digests(chat.format_messages(chat.fold_events(chat.message_events(turns)))).collect()
+    assert len(got) == 4 and {r["n_turns"] for r in got} == {3} and {r["conv_id"] for r in got} == {r["conv_id"] for r in turns.collect()}

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -85,8 +86,9 @@ def format_messages(messages: DataFrame) -> DataFrame:
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """The contract's columns, read back from the output.
 
-    A digest needs a conversation's messages in order: they stream through one task, sorted, with spill, a batch at a time.
+    A digest needs a conversation's messages in order: they stream through one task, sorted, with spill, a batch at a time. conv_id may have any type that sorts.
     """
+    key_type = to_arrow_type(formatted.schema["conv_id"].dataType)
     schema = StructType([formatted.schema["conv_id"], *StructType.fromDDL("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").fields])
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +101,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             columns = list(zip(*done)) if done else [[]] * 6
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (key_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], names=schema.names)
 
         for batch in batches:
             for conv, text, start, end in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
@@ -121,11 +123,33 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     return ordered.mapInArrow(digest, schema)
 
 
+#: Characters of a streamed delta.
+DELTA = 256
+
+
 def message_events(conversations: DataFrame) -> DataFrame:
-    """A table of turns as a log: each row is a message of one delta. Rows that repeat a turn are messages of their own, by role and text."""
+    """A table of turns as the log that streaming them leaves: its fold gives the turns. Rows that repeat a turn are messages of their own, by role and text.
+
+    A text comes in deltas. A hash of the turn says what happened before or amid them: nothing; a first answer that is regenerated; a draft that an edit
+    replaces by its first part, after which the deltas go on; or a draft that is regenerated, streamed to the end with something too much, and edited as a whole.
+    """
     same_turn = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
-    place = F.row_number().over(same_turn).cast("long")
-    return conversations.select("conv_id", F.struct("turn", place.alias("copy")).alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    turns = conversations.select("conv_id", F.struct("turn", F.row_number().over(same_turn).cast("long").alias("copy")).alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("deltas", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    deltas = F.transform("deltas", lambda d: event("delta", d))
+    null, draft = F.lit(None).cast("string"), F.lit("A draft </s> that does not stay. ")
+    first, rest = F.coalesce(F.get("deltas", F.lit(0)), F.lit("")), F.slice(deltas, F.lit(2), F.greatest(F.size("deltas") - 1, F.lit(0)))
+    kind = F.pmod(F.xxhash64("conv_id", "message"), F.lit(4))
+    log = (
+        F.when(kind == 0, F.when(F.size("deltas") == 0, F.array(event("delta", null))).otherwise(deltas))
+        .when(kind == 1, F.concat(F.array(event("delta", draft), event("delta", first), event("regenerate", null)), deltas))
+        .when(kind == 2, F.concat(F.array(event("delta", draft), event("edit", first)), rest))
+        .otherwise(F.concat(F.array(event("delta", draft), event("regenerate", null)), deltas, F.array(event("delta", draft), event("edit", F.col("text")))))
+    )
+    events = turns.select("conv_id", "message", "role", F.posexplode(log).alias("seq", "event"))
+    # The role comes with the first event.
+    return events.select("conv_id", "message", F.col("seq").cast("long").alias("seq"), "event.kind", F.when(F.col("seq") == 0, F.col("role")).alias("role"), "event.text")
 
 
 def probe_conversation(spark: SparkSession) -> DataFrame:

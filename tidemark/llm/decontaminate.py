@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 WINDOW = 13
 #: A document is contaminated if hit words are a twentieth of its words.
 SHARE = 20
-#: Words in one index, words read before one is built, and words of test phrases in one block.
-INDEX_WORDS, SHARD_WORDS, BLOCK_WORDS = 1 << 19, 1 << 21, 1 << 20
+#: Words in one index, words read before one is built, words of test phrases in one block, and different words of the blocks that share an index.
+INDEX_WORDS, SHARD_WORDS, BLOCK_WORDS, VOCABULARY = 1 << 19, 1 << 21, 1 << 20, 1 << 21
 SAMPLED = 16
 
 #: A-Z to lower case; what is no letter, digit or code point from 128 to a blank.
@@ -106,15 +106,14 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of a block of benchmark items: of 13 words, or of all words of an item that has fewer."""
+    """Windows of a block of benchmark items: of 13 words, or of all words of an item that has fewer. Words that ``vocabulary`` lacks are added to it."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], vocabulary: dict[bytes, int], window: int = WINDOW):
         self.ids = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.ids)}
-        self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in items for w in ws}))}
         found: dict[tuple, set[int]] = {}
         for name, ws in items:
-            coded = [self.vocabulary[w] for w in ws]
+            coded = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws]
             for k in range(max(1, len(coded) - window + 1) if coded else 0):
                 found.setdefault(tuple(coded[k : k + window]), set()).add(number[name])
         self.lengths = np.array([len(w) for w in found], np.int64)
@@ -127,50 +126,66 @@ class Phrases:
         self.shortest = int(self.lengths.min()) if len(found) else window
 
 
-def _search(docs: list[list[bytes]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences of windows in a shard's documents: document, first word, window."""
-    found, waiting, held = [], [], 0
-
-    def index() -> None:
-        if not waiting:
-            return
-        symbols, sizes = np.concatenate([w[2] for w in waiting]), np.array([len(w[2]) for w in waiting])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        fm = FMIndex(symbols, starts, len(phrases.vocabulary))
-        low, high = fm.search(phrases.rows)
-        counts = high - low
-        window = np.repeat(np.arange(len(counts)), counts)
-        place = fm.locate(np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(window)))
-        fragment = np.searchsorted(starts, place, side="right") - 1
-        document, word = np.array([w[0] for w in waiting]), np.array([w[1] for w in waiting])
-        found.append((document[fragment], word[fragment] + place - starts[fragment], window))
-        waiting.clear()
-
-    get = phrases.vocabulary.get
-    for k, ws in enumerate(docs):
-        coded = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
-        breaks = np.flatnonzero(np.concatenate([[True], coded == 0, [True]]))
-        for at in np.flatnonzero(np.diff(breaks) - 1 >= phrases.shortest):
-            first, last = int(breaks[at]), int(breaks[at + 1]) - 1
-            # A fragment longer than an index goes into several, which overlap by a window less one word.
-            for begin in range(first, last, INDEX_WORDS):
-                end = min(last, begin + INDEX_WORDS + phrases.rows.shape[1] - 1)
-                if end - begin >= phrases.shortest:
-                    waiting.append((k, begin, coded[begin:end]))
-                    held += end - begin
-                    if held >= INDEX_WORDS:
-                        index()
-                        held = 0
-    index()
-    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 3
-
-
-def scan(docs: list[list[bytes]], blocks: Iterable[Phrases], window: int = WINDOW) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
+#: The vocabulary that blocks of phrases share, the length of their shortest phrase, and the blocks.
+Group = tuple[dict[bytes, int], int, Iterable[Phrases]]
+
+
+class Shard:
+    """FM-indexes over a shard's documents in one vocabulary, searched for any number of blocks."""
+
+    def __init__(self, docs: list[list[bytes]], vocabulary: dict[bytes, int], shortest: int, window: int):
+        self.indexes: list[tuple[FMIndex, np.ndarray, np.ndarray, np.ndarray]] = []
+        get, waiting, held, sigma = vocabulary.get, [], 0, len(vocabulary)
+
+        def index() -> None:
+            if waiting:
+                starts = np.concatenate([[0], np.cumsum([len(w[2]) for w in waiting])[:-1]])
+                fm = FMIndex(np.concatenate([w[2] for w in waiting]), starts, sigma)
+                self.indexes.append((fm, starts, np.array([w[0] for w in waiting]), np.array([w[1] for w in waiting])))
+                waiting.clear()
+
+        for k, ws in enumerate(docs):
+            coded = np.fromiter((get(w, 0) for w in ws), np.int64, len(ws))
+            breaks = np.flatnonzero(np.concatenate([[True], coded == 0, [True]]))
+            for at in np.flatnonzero(np.diff(breaks) - 1 >= shortest):
+                first, last = int(breaks[at]), int(breaks[at + 1]) - 1
+                # A fragment longer than an index goes into several, which overlap by a window less one word.
+                for begin in range(first, last, INDEX_WORDS):
+                    end = min(last, begin + INDEX_WORDS + window - 1)
+                    if end - begin >= shortest:
+                        waiting.append((k, begin, coded[begin:end]))
+                        held += end - begin
+                        if held >= INDEX_WORDS:
+                            index()
+                            held = 0
+        index()
+
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences of windows: document, first word, window."""
+        found = []
+        for fm, starts, document, word in self.indexes:
+            low, high = fm.search(phrases.rows)
+            counts = high - low
+            window = np.repeat(np.arange(len(counts)), counts)
+            place = fm.locate(np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(window)))
+            fragment = np.searchsorted(starts, place, side="right") - 1
+            found.append((document[fragment], word[fragment] + place - starts[fragment], window))
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _occurrences(docs: list[list[bytes]], groups: Iterable[Group], window: int) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks with their occurrences; a shard is indexed once for all blocks of a vocabulary."""
+    for vocabulary, shortest, blocks in groups:
+        shard = Shard(docs, vocabulary, shortest, window)
+        for phrases in blocks if shard.indexes else ():
+            yield phrases, *shard.search(phrases)
+
+
+def scan(docs: list[list[bytes]], groups: Iterable[Group], window: int = WINDOW) -> Iterator[tuple[list[tuple[int, int]], list[str]]]:
     """For each document of a shard, the merged spans of hit words (end exclusive) and the items whose windows occur, sorted."""
     spans: list[list[np.ndarray]] = [[] for _ in docs]
     items: list[set[str]] = [set() for _ in docs]
-    for phrases in blocks:
-        document, word, which = _search(docs, phrases)
+    for phrases, document, word, which in _occurrences(docs, groups, window):
         if not len(document):
             continue
         pairs = np.unique(document * len(phrases.lengths) + which)
@@ -194,18 +209,33 @@ def scan(docs: list[list[bytes]], blocks: Iterable[Phrases], window: int = WINDO
         yield merged, sorted(names)
 
 
-def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast phrases, in blocks of bounded size, which the driver holds one at a time. Items without words have none; a null id is ``null``."""
-    blocks, waiting, held = [], [], 0
+def benchmark_groups(spark: SparkSession, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, most_words: int = VOCABULARY) -> list:
+    """Groups of broadcast blocks, each with its broadcast vocabulary and the length of its shortest phrase. Items without words have none; a null id is ``null``.
+
+    The benchmark comes to the driver a partition at a time, and goes out again in blocks of bounded size; a vocabulary that has got large is closed, and the next block begins another.
+    """
+    groups, vocabulary, blocks, shortest, waiting, held = [], {}, [], window, [], 0
+
+    def flush(close: bool) -> None:
+        nonlocal vocabulary, blocks, shortest, waiting, held
+        if waiting:
+            phrases = Phrases(waiting, vocabulary, window)
+            shortest = min(shortest, phrases.shortest)
+            blocks.append(spark.sparkContext.broadcast(phrases))
+            waiting, held = [], 0
+        if blocks and (close or len(vocabulary) >= most_words):
+            groups.append((spark.sparkContext.broadcast(vocabulary), shortest, blocks))
+            vocabulary, blocks, shortest = {}, [], window
+
     for row in benchmark.select("item_id", "text").toLocalIterator():
         ws = words(row["text"])
         if ws:
             waiting.append(("null" if row["item_id"] is None else str(row["item_id"]), ws))
             held += len(ws)
         if held >= block_words:
-            blocks.append(spark.sparkContext.broadcast(Phrases(waiting, window)))
-            waiting, held = [], 0
-    return [*blocks, *([spark.sparkContext.broadcast(Phrases(waiting, window))] if waiting else [])]
+            flush(False)
+    flush(True)
+    return groups
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -213,7 +243,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Null and empty texts have no words, spans or items. Each row counts for itself, repeated or not. New columns replace those of their names.
     """
-    blocks = benchmark_blocks(docs.sparkSession, benchmark, window)
+    groups = benchmark_groups(docs.sparkSession, benchmark, window)
     docs = docs.drop("n_words", "hits", "items")
     at = docs.columns.index("text")
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, hits array<struct<start:long,end:long>>, items array<string>").fields])
@@ -227,7 +257,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 while begin + len(shard) < batch.num_rows and held < SHARD_WORDS:
                     shard.append(words(batch.column(at)[begin + len(shard)].as_py()))
                     held += len(shard[-1])
-                found = list(scan(shard, (b.value for b in blocks), window))
+                found = list(scan(shard, ((v.value, shortest, (b.value for b in blocks)) for v, shortest, blocks in groups), window))
                 rows = batch.slice(begin, len(shard))
                 hits = [[{"start": a, "end": b} for a, b in spans] for spans, _ in found]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([len(ws) for ws in shard], pa.int64()), pa.array(hits, hits_type), pa.array([names for _, names in found], pa.list_(pa.string()))], names=schema.names)

@@ -92,7 +92,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias from rows of feature numbers, values and class, by FTRL-proximal; the penalties spare the bias."""
     z, n = np.zeros((FEATURES + 1, classes)), np.zeros((FEATURES + 1, classes))
     random = np.random.default_rng(0)
@@ -172,7 +172,7 @@ def _sample_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Learns every language from text and lang of the rows of ``docs`` (doc_id, text, lang) that aren't held out.
 
-    The driver gets about ``sample`` rows of features, or LEAST of each language if these are more, never over twice as many, and one row per feature.
+    The driver gets about ``sample`` rows of features, or LEAST of each language if these are more, and one row per feature. Rows without text or letter teach nothing; where none is left, every text is undecided.
     """
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     counted = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
@@ -184,12 +184,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     for feature, n in frequencies:
         df[feature] = n
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    # A hash of doc_id (of the text without one) below a bound that each language's count gives: about as many rows of each, without a shuffle.
+    # A hash of doc_id and text below a bound that each language's count gives: about as many rows of each, without a shuffle of the rest. Of rows that agree in both one counts.
     each = max(sample / len(counted), LEAST)
     bounds = docs.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * (1 << 32))) for lang, n in counted.items()], "lang string, bound long")
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    key = F.xxhash64("doc_id", "text")
     chosen = labelled.withColumn("key", key).join(F.broadcast(bounds), "lang").where(F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)) < F.col("bound"))
-    rows = chosen.select("text", "lang", "key").mapInArrow(_sample_features, "lang string, key long, index binary, counts binary").limit(int(2 * each * len(counted))).collect()
+    chosen = chosen.groupBy("lang", "key").agg(F.first("text").alias("text")).select("text", "lang", "key")
+    rows = chosen.mapInArrow(_sample_features, "lang string, key long, index binary, counts binary").collect()
     languages = sorted({r["lang"] for r in rows})
     model = LanguageModel(languages, idf, np.zeros((FEATURES, len(languages)), np.float32), np.zeros(len(languages)))
     if not languages:
