@@ -165,6 +165,40 @@ def exact_duplicates(docs: DataFrame, batch: Column, batches: int = BATCHES, fil
     return rest.unionByName(once)
 
 
+def write_snapshot(docs: DataFrame, path: str, filter_keys: int = FILTER_KEYS) -> None:
+    """Stores what later batches need of ``docs`` (doc_id, text), which must not change: ``path``/digests (digest, keep_id, group_size) and ``path``/filters (snapshot, shard, filter, shards)."""
+    digest = F.xxhash64(normalised(F.col("text"))).alias("digest")
+    docs.select(digest, "doc_id").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).write.parquet(f"{path}/digests")
+    groups = docs.sparkSession.read.parquet(f"{path}/digests").select(F.lit(0).alias("batch"), "digest")
+    shards = 1 << max(0, (groups.count() // filter_keys).bit_length())
+    snapshot_filters(groups, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+
+
+def screen_batch(docs: DataFrame, path: str) -> DataFrame:
+    """Digests of ``docs`` (doc_id, text) that the stored filters of a snapshot let through: all that it holds, and one of 256 others. Nothing else of the snapshot is read."""
+    filters = docs.sparkSession.read.parquet(f"{path}/filters")
+    shards = filters.agg(F.max("shards")).first()[0] or 1
+    incoming = docs.select(F.lit(1).alias("batch"), F.xxhash64(normalised(F.col("text"))).alias("digest")).distinct()
+    return screen(incoming, filters, shards).select("digest")
+
+
+def later_duplicates(docs: DataFrame, path: str, known: DataFrame) -> DataFrame:
+    """doc_id, keep_id, known, kept and text_sha256 for each row of a new batch (doc_id, text) against the snapshot in ``path`` of the rows ``known``.
+
+    Of texts that the snapshot has, keep_id is its least doc_id and no row of the batch stays; other copies within the batch are as in ``exact_duplicates``.
+    Digests that pass the filters join the snapshot's; only texts of those that are there are compared, by their bytes.
+    """
+    text = normalised(F.col("text"))
+    hits = cut_lineage(screen_batch(docs, path).join(docs.sparkSession.read.parquet(f"{path}/digests").select("digest"), "digest", "left_semi"))
+    candidates = known.select("doc_id", text.alias("text")).withColumn("digest", F.xxhash64("text")).join(hits, "digest", "left_semi")
+    theirs = candidates.groupBy("digest", "text").agg(F.min("doc_id").alias("known_id"))
+    mine = docs.select(text.alias("text")).withColumn("digest", F.xxhash64("text")).join(hits, "digest", "left_semi").distinct()
+    both = mine.join(theirs, ["digest", "text"]).select(F.sha2("text", 256).alias("text_sha256"), "known_id", F.lit(True).alias("known"))
+    own = exact_duplicates(docs, F.lit(0), 1)
+    found = own.join(both, "text_sha256", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return found.select("doc_id", F.when(F.col("known"), F.col("known_id")).otherwise(F.col("keep_id")).alias("keep_id"), "known", (F.col("kept") & ~F.col("known")).alias("kept"), "text_sha256")
+
+
 def op9_exactdedup(spark, sf_dir: str) -> DataFrame:
     """The contract's digest; a hash of doc_id deals the rows into three snapshots and a new batch."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
