@@ -307,3 +307,15 @@ def test_conversations_of_any_key(spark, kind):
     turns = turns.withColumn("conv_id", F.date_from_unix_date("conv_id") if kind == "date" else F.col("conv_id").cast(kind))
     got = chat.conversation_digests(chat.format_messages(chat.fold_events(chat.message_events(turns)))).collect()
     assert len(got) == 4 and {r["n_turns"] for r in got} == {3} and {r["conv_id"] for r in got} == {r["conv_id"] for r in turns.collect()}
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_apart(spark, how):
+    from tidemark.llm.common import join_hot
+
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(7)).otherwise(F.col("id") % 900).alias("k"), F.lit("x").alias("y"), F.col("id"))
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k <> 11")
+    got, plain = join_hot(rows, table, "k", "n", how=how), rows.join(table, "k", how)
+    assert got.columns == plain.columns and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan

@@ -42,15 +42,16 @@ def word_count(text: Column) -> Column:
 HOT = 256
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int | None = None) -> DataFrame:
-    """Inner join of ``rows`` with ``table``, which has each ``key`` once and, in ``weight``, how many rows have it.
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], weight: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``rows`` with ``table``, which has each ``key`` once and, in ``weight``, how many rows have it.
 
-    The table's rows of hot keys, HOT of them at most, are broadcast, so that their rows stay where they are; the rest is joined as Spark sees fit.
+    The table's rows of hot keys, HOT of them at most, are broadcast, so that their rows stay where they are; the rest is joined as Spark sees fit. ``total`` is the number of rows.
     """
+    keys = [key] if isinstance(key, str) else key
     least = (rows.count() if total is None else total) // HOT + 1
     hot = table.where(F.col(weight) >= least)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) < least), key)
-    return rest.unionByName(rows.join(F.broadcast(hot), key).select(rest.columns))
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.where(F.col(weight) < least), keys, how)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys).select(rest.columns))
 
 
 def volume(docs: DataFrame) -> tuple[int, int]:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage
+from tidemark.llm.common import cut_lineage, join_hot
 
 BATCHES = 4
 #: Digests of a batch that one filter holds.
@@ -150,7 +150,8 @@ def exact_duplicates(docs: DataFrame, batch: Column, batches: int = BATCHES, fil
     texts = texts.join(F.broadcast(candidates) if small else candidates, "digest", "left_semi")
     buckets = texts.groupBy("digest", "text").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     buckets = cut_lineage(buckets.select("digest", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size"))
-    found = rows.join(F.broadcast(buckets) if small else buckets, ["digest", "text_sha256"], "left")
+    keys = ["digest", "text_sha256"]
+    found = rows.join(F.broadcast(buckets), keys, "left") if small else join_hot(rows, buckets, keys, "group_size", how="left")
     single = F.col("group_size").isNull()
     found = found.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256", (single | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("first"))
     # Rows of the least doc_id: one, unless the table repeats it.
