@@ -297,7 +297,7 @@ ended AS (SELECT doc_id, regexp_replace(t, '[.!?;]+[ \t\n]|\n[\x00-\x09\x0B-\x2F
 normal AS (SELECT doc_id, '  ' || trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00\x02-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g')) || '  ' AS words FROM ended),
 split AS (SELECT doc_id, identifier, length(pattern) AS size, string_split(words, pattern) AS parts FROM normal JOIN patterns ON contains(words, pattern)),
 places AS (SELECT *, unnest(range(1, len(parts))) AS k FROM split),
-spans AS (SELECT doc_id, identifier, CAST(list_sum(list_transform(parts[1:k], x -> length(x))) + (k - 1) * size AS BIGINT) AS start, size FROM places),
+spans AS (SELECT doc_id, identifier, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * size AS BIGINT) AS start, size FROM places),
 reach AS (SELECT doc_id, identifier, start, start + size AS finish, max(start + size) OVER (PARTITION BY doc_id ORDER BY start, size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM spans),
 found AS (SELECT doc_id, count(*) AS n, string_agg(identifier, ' ' ORDER BY start) AS ids, string_agg('<' || identifier || '>', '' ORDER BY start) AS chain FROM reach WHERE reached IS NULL OR finish > reached GROUP BY doc_id),
 chains AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(ids, '') AS ids, coalesce(chain, '') AS chain FROM documents LEFT JOIN found USING (doc_id)),
