@@ -61,7 +61,10 @@ def test_stages(spark, awkward, empty):
             if folder == empty:
                 assert not rows
             elif k == 1:
-                assert len({r["doc_id"] for r in rows}) == len(rows)
+                texts = [r["text"] for r in rows]
+                # One row of each text of its own, with or without an id; one of all texts without words.
+                assert {"x", "12345 !!! 67", "\x00\ud7ff \U0001f600 end", "Le chat est sur la table avec le chien"} <= set(texts)
+                assert max(texts.count(t) for t in texts) == 1 and sum(not (t or "").split() for t in texts) == 1
             elif k == 4:
                 assert len(rows) == docs.count() and set(docs.columns) <= set(out.columns)
                 slots = {}
